@@ -23,7 +23,7 @@ from lodestone.llm.common import SPACES, doc_mod, split_words, stored
 
 HOT = 50_000
 DISCOUNT = 0.75
-ROUNDS = 2
+ROUNDS = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

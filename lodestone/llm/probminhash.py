@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import small, stored
 from lodestone.llm.textblocks import blocks, mix, shingles, weighted, word_hashes
@@ -126,7 +127,7 @@ def _compare(batches):
 
 
 def links(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose ``texts`` (node, text) are similar: (a, b), stored.
+    """Of ``pairs`` (a, b) those that are similar by their ``texts`` (node, text): (a, b), stored.
 
     Similar: probability Jaccard of counted shingles, or Jaccard of the sets, of at least ``threshold``.
     """
@@ -151,6 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
+def _node():
+    """The node of a row: a digest of its text; a null text is a node of its own with its id."""
+    own = F.concat(F.lit("\0null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(F.col("text"), own).cast("binary")))
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, class_id, class_size, representative.
 
@@ -160,9 +167,11 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     in both). A text of fewer than five words is one shingle; one without words is only equal to equal texts. A null
     text is a class of its own with its doc_id. Other columns are not read.
     """
-    rows_in = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce(F.col("text"), F.concat(F.lit("\0null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).cast("binary"))).alias("node"))
-    from pyspark.sql import types as T
+    return _classes(docs, bands, rows, threshold).drop("node")
 
+
+def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    rows_in = docs.select("doc_id", "text", _node().alias("node"))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, bands array<long>").fields])
     signed = stored(rows_in.mapInArrow(_bands(bands, rows), schema), "signed")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
@@ -213,4 +222,21 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
     several = stored(placed.where(F.col("class_size") > 1), "classes")
     out = signed.select("doc_id", "node").join(several, "node", "left")
     mine = F.col("top").isNull() | ((F.col("node") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return out.select("doc_id", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), mine.alias("representative"))
+    return out.select("doc_id", "node", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), mine.alias("representative"))
+
+
+
+def representatives(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class of ``classes``, all columns; of rows equal in id and text, any one."""
+    found = _classes(docs, bands, rows, threshold).where("representative").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    found = stored(found, "representatives")
+    keyed = docs.withColumn("_node", _node()).alias("d")
+
+    def among(some: DataFrame) -> DataFrame:
+        some = small(some).alias("r")
+        return keyed.join(some, (F.col("d._node") == F.col("r.node")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
+
+    out, several = among(found.where(F.col("n") == 1)), found.where(F.col("n") > 1)
+    if not several.isEmpty():
+        out = out.unionByName(among(several).dropDuplicates(["_node"]))
+    return out.drop("_node")

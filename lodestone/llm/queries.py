@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, langid, lattice, licenses, probminhash, quality, sharding, warc
+from lodestone.llm import bpe, chroma, decontaminate, langid, lattice, licenses, probminhash, quality, sharding, warc
 from lodestone.llm.common import table
 
 
@@ -26,6 +27,11 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = chroma.render(table(spark, sf_dir, "embeddings"))
+    return chroma.search(chroma.fingerprints(media), F.col("id") % 20 == 0)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_lattice_score, op4_shard, op6_language, op7_warc, op8_near_duplicates, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_lattice_score, op4_shard, op5_chroma, op6_language, op7_warc, op8_near_duplicates, op9_quality, op10_bpe)}
 
 ORACLE_SQL = {
     "op7_warc": """
