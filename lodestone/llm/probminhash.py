@@ -4,9 +4,11 @@ Each distinct shingle, weighted by its count, is a Poisson process of arrivals a
 component keeps the shingle of its first arrival, and a shingle stops once no component can wait for it any more. Two
 signatures agree in a component with the probability Jaccard similarity of the texts.
 
-Equal texts are one node. In each bucket of each band, nodes are compared with a leader only, first with one leader
-each, then with those of all bands; what stays apart is compared across the components within a bucket. So groups of
-near copies never expand into all their pairs, yet no pair of a bucket goes untested unless both are linked already.
+Equal texts are one node. In each bucket of each band, nodes are compared with one leader only, the node that meets
+most others in all buckets: in a family of copies that is one near their origin. Each node is first compared with its
+best leader, then with those of its other buckets. Buckets whose nodes are in several components after that are
+compared in blocks inside a task, signatures first and shingles where these come near; only links leave it. So groups
+of near copies never expand into all their pairs, yet no pair of a bucket is passed over but by its signatures.
 Components, fingerprints and links stay distributed throughout.
 """
 
@@ -28,6 +30,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 #: Rows of Arrow batches that carry shingle sets.
 BATCH = 64
+#: Pairs whose signatures agree by this much less than the threshold are compared exactly: four standard deviations.
+MARGIN = 0.1
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK = 1024
 
 
 def signatures(items: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -104,38 +110,104 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _sets(batches):
-    for b in batches:
-        for first, last, items, owner, n in _weights(b.column("text")):
-            at = np.searchsorted(owner, np.arange(last - first + 1))
-            for low in range(0, last - first, BATCH):
-                high = min(low + BATCH, last - first)
-                part = slice(at[low], at[high])
-                lists = [pa.ListArray.from_arrays(pa.array((at[low : high + 1] - at[low]).astype(np.int32)), pa.array(v[part])) for v in (items.view(np.int64), n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(first + low, high - low), *lists], ["node", "items", "counts"])
+def _sets(m: int):
+    """For each node its signature, a byte a component, and its shingles with counts."""
 
+    def run(batches):
+        for b in batches:
+            for first, last, items, owner, n in _weights(b.column("text")):
+                sig = (mix(signatures(items, owner, n.astype(np.float64), last - first, m)) & np.uint64(255)).astype(np.uint8)
+                at = np.searchsorted(owner, np.arange(last - first + 1))
+                for low in range(0, last - first, BATCH):
+                    high = min(low + BATCH, last - first)
+                    part = slice(at[low], at[high])
+                    lists = [pa.ListArray.from_arrays(pa.array((at[low : high + 1] - at[low]).astype(np.int32)), pa.array(v[part])) for v in (items.view(np.int64), n.astype(np.int32))]
+                    marks = pa.array([x.tobytes() for x in sig[low:high]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([b.column("node").slice(first + low, high - low), marks, *lists], ["node", "sig", "items", "counts"])
+
+    return run
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity by signatures of bytes, equal bytes by chance taken off."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+class _Lists:
+    """Shingles with counts of each row of a batch, without copies."""
+
+    def __init__(self, b, items: str = "items", counts: str = "counts"):
+        x, y = b.column(items), b.column(counts)
+        if isinstance(x, pa.ChunkedArray):
+            x, y = x.combine_chunks(), y.combine_chunks()
+        self.at, self.x, self.y = x.offsets.to_numpy(), x.values.to_numpy().view(np.uint64), y.values.to_numpy()
+        self.at_y = y.offsets.to_numpy()
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.x[self.at[i] : self.at[i + 1]], self.y[self.at_y[i] : self.at_y[i + 1]]
+
+
+def _marks(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def _near(least: float):
+    def run(batches):
+        for b in batches:
+            if len(b):
+                ok = pa.array(agreement(_marks(b.column("sig")), _marks(b.column("sig2"))) >= least)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    return run
 
-def _compare(batches):
-    for b in batches:
-        flat = {c: b.column(c) for c in ("items", "counts", "items2", "counts2")}
-        at = {c: x.offsets.to_numpy() for c, x in flat.items()}
-        data = {c: x.values.to_numpy() for c, x in flat.items()}
-        part = lambda c, i: data[c][at[c][i] : at[c][i + 1]]  # noqa: E731, B023
-        found = [probability_jaccard(part("items", i).view(np.uint64), part("counts", i), part("items2", i).view(np.uint64), part("counts2", i)) for i in range(len(b))]
-        best = np.array([max(f) for f in found], float)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(best)], ["a", "b", "similarity"])
 
+def _compare(threshold: float):
+    def run(batches):
+        for b in batches:
+            one, two = _Lists(b), _Lists(b, "items2", "counts2")
+            ok = pa.array([max(probability_jaccard(*one[i], *two[i])) >= threshold for i in range(len(b))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    return run
 
-def links(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Of ``pairs`` (a, b) those that are similar by their ``texts`` (node, text): (a, b), stored.
+
+def _within(threshold: float):
+    """Links between components inside a bucket (or two blocks of it), each pair of components once."""
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes, sig, sets = t.column("node").to_pylist(), _marks(t.column("sig")), _Lists(t)
+        side = t.column("part").to_numpy()
+        names = {c: i for i, c in enumerate(dict.fromkeys(t.column("component").to_pylist()))}
+        comp = np.array([names[c] for c in t.column("component").to_pylist()])
+        same = bool((side == side[0]).all())
+        out = []
+        for i in range(len(nodes)):
+            rest = np.arange(i + 1, len(nodes))
+            rest = rest[(comp[rest] != comp[i]) & (same | (side[rest] != side[i]))]
+            rest = rest[agreement(sig[rest], sig[i]) >= threshold - MARGIN]
+            for j in rest.tolist():
+                if comp[j] != comp[i] and max(probability_jaccard(*sets[i], *sets[j])) >= threshold:
+                    out.append((nodes[i], nodes[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return run
+
+
+def links(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Of ``pairs`` (a, b) those that are similar by their ``sets`` (node, sig, items, counts): (a, b), stored.
 
     Similar: probability Jaccard of counted shingles, or Jaccard of the sets, of at least ``threshold``.
     """
-    sets = stored(texts.select("node", "text").mapInArrow(_sets, "node binary, items array<long>, counts array<int>"), "sets")
-    one = pairs.join(sets.withColumnRenamed("node", "a"), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items2"), F.col("counts").alias("counts2")), "b")
-    found = two.mapInArrow(_compare, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
-    return stored(found.select("a", "b"), "links")
+
+    def beside(rows: DataFrame, *columns: str) -> DataFrame:
+        for key, mark in (("a", ""), ("b", "2")):
+            rows = rows.join(sets.select(F.col("node").alias(key), *(F.col(c).alias(c + mark) for c in columns)), key)
+        return rows
+
+    near = stored(beside(pairs, "sig").mapInArrow(_near(threshold - MARGIN), "a binary, b binary"), "near")
+    return stored(beside(near, "items", "counts").mapInArrow(_compare(threshold), "a binary, b binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,47 +246,40 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFr
     rows_in = docs.select("doc_id", "text", _node().alias("node"))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, bands array<long>").fields])
     signed = stored(rows_in.mapInArrow(_bands(bands, rows), schema), "signed")
-    nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    leaders = nodes.select("node", F.col("least").alias("doc_id"))
-    # One row of each node carries its bands and, later, its text: that of the least doc_id.
-    one = signed.alias("s").join(leaders.alias("l"), (F.col("s.node") == F.col("l.node")) & F.col("s.doc_id").eqNullSafe(F.col("l.doc_id"))).select("s.node", "s.bands")
-    buckets = one.select("node", F.posexplode("bands").alias("band", "hash"))
-    heads = stored(buckets.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.countDistinct("node").alias("n")).where(F.col("n") > 1), "heads")
-    members = stored(buckets.join(small(heads.select("band", "hash", "leader"), heads.count()), ["band", "hash"]).distinct(), "members")
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"), "wanted")
-        mine = rows_in.alias("d").join(small(wanted).alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("d.node", "d.text")
-        return mine.dropDuplicates(["node"])
-
-    star = members.where(F.col("node") != F.col("leader"))
-    first = stored(star.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")), "first")
-    found = [links(first, joined(first), threshold)]
+    nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    shared = stored(buckets.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > 1), "shared")
+    members = stored(buckets.join(small(shared), ["band", "hash"]), "members")
+    met = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    heads = members.join(met, "node").groupBy("band", "hash").agg(F.max(F.struct("met", "node")).alias("head"))
+    star = members.join(stored(heads, "heads"), ["band", "hash"]).where(F.col("node") != F.col("head.node"))
+    star = stored(star.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max("head.met").alias("met")), "star")
+    # The text of a node is that of its row with the least doc_id.
+    wanted = stored(met.join(nodes.select("node", "least"), "node").select("node", "least"), "wanted")
+    mine = rows_in.alias("d").join(small(wanted).alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("d.node", "d.text")
+    sets = stored(mine.dropDuplicates(["node"]).mapInArrow(_sets(bands * rows), "node binary, sig binary, items array<long>, counts array<int>"), "sets")
+
+    first = stored(star.groupBy("a").agg(F.max(F.struct("met", "b")).alias("m")).select("a", "m.b"), "first")
+    found = [links(first, sets, threshold)]
     part = components(found[0])
 
-    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those in different components."""
+    def across(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components."""
         for c in ("a", "b"):
             pairs = pairs.join(part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left")
         return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
-    second = stored(apart(star.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), part), "second")
-    tested = first
-    if not second.isEmpty():
-        found.append(links(second, joined(second), threshold))
-        tested = first.unionByName(second)
-        part = components(reduce(DataFrame.unionByName, found))
-    # What is left: buckets whose members are still in several components.
+    found.append(links(across(star.join(first, ["a", "b"], "left_anti").select("a", "b")), sets, threshold))
+    part = components(reduce(DataFrame.unionByName, found))
+    # What is left: buckets whose nodes are still in several components.
     placed = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high"))
-    rest = stored(placed.where(F.col("node") != F.col("leader")).join(small(stored(mixed.select("band", "hash"), "mixed")), ["band", "hash"], "left_semi").select("band", "hash", "node", "component"), "rest")
-    other = rest.select("band", "hash", F.col("node").alias("b"), F.col("component").alias("_b"))
-    across = rest.withColumnRenamed("node", "a").join(other, ["band", "hash"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_b"))).select("a", "b").distinct()
-    turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    third = stored(across.join(tested.unionByName(turned), ["a", "b"], "left_anti"), "third")
-    if not third.isEmpty():
-        found.append(links(third, joined(third), threshold))
-        part = components(reduce(DataFrame.unionByName, found))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+    mixed = stored(mixed.select("band", "hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rest = placed.drop("n").join(small(mixed), ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", "hash", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    found.append(stored(rest.join(sets, "node").groupBy("band", "hash", "low", "high").applyInArrow(_within(threshold), "a binary, b binary").distinct(), "found"))
+    part = components(reduce(DataFrame.unionByName, found))
 
     placed = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "node"))).alias("top"), F.min("node").alias("any"))
