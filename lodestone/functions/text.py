@@ -132,8 +132,7 @@ def normalise_answer(c: Column) -> Column:
     for pattern, to in REWRITES:
         out = F.regexp_replace(out, pattern, to)
     out = F.replace(out, F.lit("$"), F.lit(""))
-    digits = F.replace(out, F.lit(","), F.lit(""))
-    return strip(F.when(digits.rlike("^[0-9]+$"), digits).otherwise(out))
+    return strip(F.regexp_replace(out, r"(?<=^[0-9,]{0,200}),(?=[0-9,]*$)", ""))  # commas of a number
 
 
 # -- SQL in answers ------------------------------------------------------------------------------------------------------
