@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.ordering import row_numbers
+
 
 def varied_groups(rows: DataFrame, group: str, reward: str, keep_singletons: bool = True) -> DataFrame:
     """Groups whose rewards differ (or that have one row): (group, n, low, high). Aggregates before any join."""
@@ -37,9 +39,9 @@ def run_numbers(rows: DataFrame, order: str, value: str, within: str | None = No
 
 
 def round_robin(rows: DataFrame, key: str, workers: int) -> DataFrame:
-    """(key, worker): distinct keys dealt in order. Only the distinct keys are ranked."""
-    keys = rows.select(key).distinct()
-    return keys.withColumn("worker", (F.row_number().over(Window.orderBy(key)) - 1) % workers)
+    """(key, place, worker): distinct keys numbered from 0 and dealt in order."""
+    keys = row_numbers(rows.select(key).distinct(), [key], "place")
+    return keys.select(key, (F.col("place") - 1).alias("place"), ((F.col("place") - 1) % workers).alias("worker"))
 
 
 def rollouts(prompts: DataFrame, n: int, index: str) -> DataFrame:

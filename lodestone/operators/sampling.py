@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.ordering import row_numbers
+
 
 def ticket(key: str, seed: int = 42) -> Column:
     """A digest that orders keys as if shuffled."""
@@ -47,7 +49,7 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str) -> DataFrame:
     """Rows of several sources with a ``turn``: ordered by it, each source comes in proportion to its weight."""
     out = None
     for number, (rows, weight) in enumerate(parts):
-        rows = rows.withColumn("stream", F.lit(number)).withColumn("turn", F.row_number().over(Window.orderBy(key)) / F.lit(float(weight)))
+        rows = row_numbers(rows.withColumn("stream", F.lit(number)), [key], "turn").withColumn("turn", F.col("turn") / F.lit(float(weight)))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -178,8 +178,7 @@ def group_all_equal_drop(t):
 
 @query("SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS place, (dense_rank() OVER (ORDER BY user_id) - 1) % 8 AS worker FROM (SELECT DISTINCT user_id FROM events)")
 def worker_assignment(t):
-    dealt = groups.round_robin(t.events, "user_id", 8)
-    return dealt.select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("place"), F.col("worker").cast("long").alias("worker"))
+    return groups.round_robin(t.events, "user_id", 8)
 
 
 @query("SELECT event_type, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, max_by(event_id, value * 1000000 + event_id) AS slowest FROM events GROUP BY event_type")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rewards as rw
 from lodestone.functions import text as tx
-from lodestone.operators import sampling
+from lodestone.operators import ordering, sampling
 from lodestone.plans.registry import query
 
 #: A response made of a document: thought and answer, spoilt for some rows.
@@ -400,7 +400,8 @@ def prefix_limit(t):
 def duration_buckets(t):
     from pyspark.sql.window import Window
 
-    tiled = t.documents.select("doc_id", "n_chars", F.ntile(30).over(Window.orderBy("n_chars", "doc_id")).alias("tile"))
+    rows = ordering.row_numbers(t.documents.select("doc_id", "n_chars"), ["n_chars", "doc_id"], "number")
+    tiled = rows.select("doc_id", "n_chars", ordering.tile(F.col("number"), rows.count(), 30).alias("tile"))
     run = F.sum("n_chars").over(Window.partitionBy("tile").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return tiled.select("doc_id", "tile", F.floor((run - 1) / 50000.0).alias("batch"))
 
