@@ -28,8 +28,7 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = chroma.render(table(spark, sf_dir, "embeddings"))
-    return chroma.search(chroma.fingerprints(media), F.col("id") % 20 == 0)
+    return chroma.search(chroma.vector_fingerprints(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

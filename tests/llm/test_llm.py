@@ -351,3 +351,10 @@ def test_pipeline_stages(spark):
         docs = out
     final = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in docs.select("doc_id").collect()} and final.count() > 50
+
+
+def test_playing_and_listening_in_one_pass(spark):
+    rows = [(1, [0.1, -0.2] * 32), (2, None), (3, []), (4, [None] * 64), (1, [0.1, -0.2] * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    two = chroma.fingerprints(chroma.render(df)).collect()
+    assert sorted(map(str, chroma.vector_fingerprints(df).collect())) == sorted(map(str, two)) and len(two) == 5
