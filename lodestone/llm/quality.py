@@ -26,8 +26,8 @@ SAMPLE = 6_000
 DIM, PLACES, BUCKETS = 64, 4, 1 << 14
 HIDDEN = 32
 THRESHOLD = 0.7
-#: Partitions of the training sample; each sends one context table.
-PARTS = 8
+#: Partitions of the training sample; each has one context table, added up in CHUNKS.
+PARTS, CHUNKS = 8, 16
 _SAME, _LOUD = np.uint64(0x5EED5A3E), np.uint64(0x10D)
 
 
@@ -152,7 +152,7 @@ def _features(context: np.ndarray):
         for b in batches:
             for first, last, data, offsets in blocks(b.column("text")):
                 x = pooled(data, offsets, context.value)
-                yield pa.RecordBatch.from_arrays([b.column("y").slice(first, last - first), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("y").slice(first, last - first), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
     return run
 
@@ -162,10 +162,14 @@ def _context(batches):
     for b in batches:
         for _, _, data, offsets in blocks(b.column("text")):
             total += context_sums(*tokens(data, offsets))
-    at = np.nonzero(np.abs(total).sum(1))[0]
-    for low in range(0, len(at), 4096):
-        some = at[low : low + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float32()))], ["bucket", "v"])
+    step = BUCKETS // CHUNKS
+    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(CHUNKS)], pa.binary())], ["chunk", "v"])
+
+
+def _added(t: pa.Table) -> pa.Table:
+    """The sum of one chunk's tables."""
+    total = sum(np.frombuffer(v.as_py(), np.float32) for v in t.column("v"))
+    return pa.table({"chunk": t.column("chunk").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -185,15 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     own = F.broadcast(own.where(unit < share[F.col("y")]))  # bounded by the sample
     rows = stored(docs.select("doc_id", "text").join(own, "doc_id").select(F.col("y").cast("double").alias("y"), "text").repartition(PARTS), "sample")
-    context = np.zeros((BUCKETS, DIM), np.float32)
-    for r in rows.select("text").coalesce(PARTS).mapInArrow(_context, "bucket long, v array<float>").toPandas().itertuples(index=False):
-        context[r.bucket] += r.v
+    parts = rows.select("text").coalesce(PARTS).mapInArrow(_context, "chunk int, v binary").groupBy("chunk").applyInArrow(_added, "chunk int, v binary")
+    table = {r["chunk"]: r["v"] for r in parts.collect()}  # one context table
+    if not table:
+        return blank
+    context = np.frombuffer(b"".join(table[i] for i in range(CHUNKS)), np.float32).reshape(BUCKETS, DIM).copy()
+    del table
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     shared = spark.sparkContext.broadcast(context)
-    got = rows.mapInArrow(_features(shared), "y double, x array<float>").toPandas()
-    if not len(got):
+    got = rows.mapInArrow(_features(shared), "y double, x binary").toArrow()  # bounded by the sample
+    x, y = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + 3).astype(float), got.column("y").to_numpy()
+    del got
+    if not len(x):
         return blank
-    x, y = np.stack(got["x"].to_numpy()).astype(float), got["y"].to_numpy()
     order = np.lexsort(np.round(x[:, ::-1].T, 4))  # the same batches whatever order the rows come in
     mean, scale, layers, temperature = train_network(x[order], y[order])
     # The sample holds labels at other shares than the table: put the table's odds back.
