@@ -119,8 +119,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     best = each.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("of"))
     in_lang = F.filter("of", lambda x: (x["n"] >= LEAST) & (x["rate"] >= SHARE * F.col("top")))
     mask = F.aggregate(in_lang, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
-    table = best.select("gram", mask.alias("mask")).where(F.col("mask") != 0).toPandas()  # bounded by the sample
-    return Filter.of(languages, table["gram"].to_numpy(np.int64).view(np.uint64), table["mask"].to_numpy(np.int64).view(np.uint64))
+    table = best.select("gram", mask.alias("mask")).where(F.col("mask") != 0).toArrow()  # bounded by the sample
+    return Filter.of(languages, *(table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "mask")))
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
