@@ -199,6 +199,34 @@ def test_chroma_aligns_excerpts(spark):
     assert set(found) == {(3, 1)} and found[(3, 1)].at == 40 and found[(3, 1)].bit_error < 0.2
 
 
+def test_chroma_compares_every_place(spark):
+    rng = np.random.default_rng(5)
+
+    def noisy(x, share):
+        flips = (rng.random((len(x), 32)) < share) @ (1 << np.arange(32, dtype=np.uint64))
+        return (x.view(np.uint32) ^ flips.astype(np.uint32)).view(np.int32)
+
+    def brute(q, c):
+        best = None
+        for at in range(-len(c) + 40, len(q) - 40 + 1):
+            a, b = q[max(at, 0) :], c[max(-at, 0) :]
+            k = min(len(a), len(b))
+            wrong = int(np.bitwise_count((a[:k] ^ b[:k]).view(np.uint32)).sum())
+            if k >= 40 and wrong <= 0.25 * 32 * k:
+                rank = (32 * k - 2 * wrong, -abs(at), at, k, int((a[:k] == b[:k]).sum()), wrong / (32 * k))
+                best = max(best or rank, rank)
+        return best and best[2:]
+
+    base = [rng.integers(-(2**31), 2**31, n).astype(np.int32) for n in (64, 110, 110, 110, 700)]
+    prints = {20 * (i + 1): noisy(x, 0.02) for i, x in enumerate(base)}
+    prints |= {20 * (i + 1) + n: noisy(x, share) for i, x in enumerate(base) for n, share in enumerate((0.05, 0.1, 0.15, 0.2, 0.22), 1)}
+    prints |= {7: noisy(base[1][50:], 0.18), 8: noisy(base[4][300:380], 0.2), 9: base[2][:39], 11: np.zeros(90, np.int32), 120: np.zeros(50, np.int32)}
+    want = {(q, c): found for q in prints if q % 20 == 0 for c in prints if c != q and (found := brute(prints[q], prints[c]))}
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in prints.items()], "id long, fp array<int>")
+    got = {(r.class_id, r.recording_id): (r["at"], r.frames, r.hits, r.bit_error) for r in chroma.search(df, F.col("id") % 20 == 0).collect() if r.kind == "match"}
+    assert got == want and len(got) >= 28
+
+
 # -- language ------------------------------------------------------------------------------------------------------------
 def test_language(spark):
     de, en = "der schnelle braune fuchs und die katze ", "the quick brown fox and a lazy dog "
