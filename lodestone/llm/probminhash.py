@@ -2,7 +2,8 @@
 
 Each distinct shingle, weighted by its count, is a Poisson process of arrivals at the signature's components; a
 component keeps the shingle of its first arrival, and a shingle stops once no component can wait for it any more. Two
-signatures agree in a component with the probability Jaccard similarity of the texts.
+signatures agree in a component with the probability Jaccard similarity of the texts. With weights of one they agree
+with the Jaccard similarity of the sets; a text is signed and banded both ways, as either similarity makes it near.
 
 Equal texts are one node. In each bucket of each band, nodes are compared with one leader only, the node that meets
 most others in all buckets: in a family of copies that is one near their origin. Each node is first compared with its
@@ -95,28 +96,41 @@ def _weights(column: pa.Array):
         yield first, last, *weighted(*shingles(*word_hashes(data, offsets), WORDS))
 
 
+def _signed(items: np.ndarray, owner: np.ndarray, n: np.ndarray, n_docs: int, m: int) -> np.ndarray:
+    """Signatures of counted shingles, then of their sets; both are the same where nothing repeats: (document, 2, component)."""
+    both = np.repeat(signatures(items, owner, n.astype(np.float64), n_docs, m)[:, None], 2, axis=1)
+    repeats = np.unique(owner[n > 1])
+    if len(repeats):
+        mine = np.isin(owner, repeats)
+        both[repeats, 1] = signatures(items[mine], np.searchsorted(repeats, owner[mine]), np.ones(int(mine.sum())), len(repeats), m)
+    return both
+
+
 def _bands(bands: int, rows: int):
+    """Hashes of the bands of both signatures, those of the counted shingles first."""
+
     def run(batches):
         for b in batches:
-            out = np.zeros((len(b), bands), np.uint64)
+            out = np.zeros((len(b), 2 * bands), np.uint64)
             has = np.zeros(len(b), bool)
             for first, last, items, owner, n in _weights(b.column("text")):
-                out[first:last] = band_hashes(signatures(items, owner, n.astype(np.float64), last - first, bands * rows), bands, rows)
+                sig = _signed(items, owner, n, last - first, bands * rows)
+                out[first:last] = band_hashes(sig.reshape(-1, bands * rows), bands, rows).reshape(last - first, -1)
                 has[first + owner] = True
             flat = pa.array(out[has].view(np.int64).ravel(), pa.int64())
-            at = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
+            at = np.concatenate([[0], np.cumsum(has * 2 * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.ListArray.from_arrays(pa.array(at), flat)], ["doc_id", "node", "bands"])
 
     return run
 
 
 def _sets(m: int):
-    """For each node its signature, a byte a component, and its shingles with counts."""
+    """For each node its two signatures, a byte a component, and its shingles with counts."""
 
     def run(batches):
         for b in batches:
             for first, last, items, owner, n in _weights(b.column("text")):
-                sig = (mix(signatures(items, owner, n.astype(np.float64), last - first, m)) & np.uint64(255)).astype(np.uint8)
+                sig = (mix(_signed(items, owner, n, last - first, m)) & np.uint64(255)).astype(np.uint8)
                 at = np.searchsorted(owner, np.arange(last - first + 1))
                 for low in range(0, last - first, BATCH):
                     high = min(low + BATCH, last - first)
@@ -129,8 +143,8 @@ def _sets(m: int):
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity by signatures of bytes, equal bytes by chance taken off."""
-    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+    """The larger similarity by both signatures of bytes, equal bytes by chance taken off."""
+    return ((a == b).mean(axis=-1).max(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
 class _Lists:
@@ -149,7 +163,7 @@ class _Lists:
 
 def _marks(column) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 2, -1)
 
 
 def _near(least: float):
@@ -247,7 +261,8 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFr
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, bands array<long>").fields])
     signed = stored(rows_in.mapInArrow(_bands(bands, rows), schema), "signed")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = nodes.select("node", "bands", F.posexplode("bands").alias("at", "hash")).where((F.col("at") < bands) | (F.col("hash") != F.get("bands", F.col("at") - bands)))
+    buckets = buckets.select("node", (F.col("at") % bands).alias("band"), "hash")
     shared = stored(buckets.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > 1), "shared")
     members = stored(buckets.join(small(shared), ["band", "hash"]), "members")
     met = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "met")

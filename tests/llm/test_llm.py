@@ -327,6 +327,18 @@ def test_near_duplicates(spark):
     assert probminhash.classes(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_that_differ_in_repetitions(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(20):
+        once, line = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in (60, 10))
+        texts += [(len(texts), f"{once} {line}"), (len(texts) + 1, f"{once} {' '.join([line] * 20)}")]
+    one, two = (shingle_counts(t) for _, t in texts[:2])
+    assert len(one & two) / len(one | two) > 0.9
+    got = {r.doc_id: r.class_id for r in probminhash.classes(table(spark, texts)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in texts}
+
+
 # -- quality -------------------------------------------------------------------------------------------------------------
 def test_quality(spark):
     rnd = random.Random(6)
