@@ -14,8 +14,13 @@ SURE = 0.6
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the classifier's threshold; null texts are scored as empty ones."""
+    """Documents whose quality score reaches the classifier's threshold; null texts are scored as empty ones.
+
+    Where no label is of use (none, or all held out) nothing is learned, and all documents stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 

@@ -114,6 +114,11 @@ class Model:
     layers: list[np.ndarray]
     temperature: float
 
+    @property
+    def learned(self) -> bool:
+        """Whether labelled rows were there to learn from."""
+        return any(layer.any() for layer in self.layers)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.layers
         return (np.tanh(((x - self.mean) / self.scale) @ a + b) @ c + d)[:, 0] / self.temperature

@@ -393,6 +393,14 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in docs.select("doc_id").collect()} and final.count() > 50
 
 
+def test_quality_stage_without_usable_labels(spark, tmp_path):
+    docs = table(spark, [(i, f"some clean words of text {i}") for i in range(20, 40)])
+    held = [i for i in range(20, 40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for n, rows in enumerate(([], [(i, 1, 0) for i in held], [(20, None, 0)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        assert corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{n}").count() == 20
+
+
 def test_playing_and_listening_in_one_pass(spark):
     rows = [(1, [0.1, -0.2] * 32), (2, None), (3, []), (4, [None] * 64), (1, [0.1, -0.2] * 32)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
