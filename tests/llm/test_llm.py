@@ -401,6 +401,15 @@ def test_quality_stage_without_usable_labels(spark, tmp_path):
         assert corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{n}").count() == 20
 
 
+def test_decontamination_stage_judges_rows_by_their_text(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(None, "clean without id"), (None, None), (7, "clean of a repeated id"), (7, "clean of a repeated id"), (8, "other"), (9, "")]
+    dirty = [(None, f"so {passage} it was"), (7, passage), (10, passage), (10, passage)]
+    got = corpus_pipeline.keep_uncontaminated(spark, table(spark, clean + dirty), str(tmp_path))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, clean))
+
+
 def test_playing_and_listening_in_one_pass(spark):
     rows = [(1, [0.1, -0.2] * 32), (2, None), (3, []), (4, [None] * 64), (1, [0.1, -0.2] * 32)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
