@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared folder, or a temporary one where that is unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from lodestone.storage import scratch
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -110,14 +102,3 @@ def replay_sessions(turns: DataFrame, most: int, phrase: str) -> DataFrame:
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "state": ["COMPLETED" if done else "RUNNING"]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(with_state, spec, "n long, done boolean", "update", GroupStateTimeout.NoTimeout)
-
-
-def until_enough(batches: list[DataFrame], keep, wanted: int) -> DataFrame | None:
-    """Filtered batches in turn until ``wanted`` rows are there; an error if they never are."""
-    out = None
-    for b in batches:
-        part = keep(b)
-        out = part if out is None else out.unionByName(part)
-        if out.count() >= wanted:
-            return out.limit(wanted)
-    raise ValueError(f"fewer than {wanted} rows after {len(batches)} batches")
