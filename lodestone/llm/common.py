@@ -3,41 +3,84 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.storage import scratch
 
 #: ASCII characters that end a word; every other character but A-Z (lower-cased first) is part of one.
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: White space that ends a token of the language model.
 SPACES = r"[\x20\x09-\x0D]+"
-#: A side with at most this many rows may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 500_000
+#: A side of at most this many bytes, as measured, is broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Rows and bytes of an Arrow batch at most.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand few rows at once to Python, as texts are long; limits of one's own below these stay."""
+    conf = df.sparkSession.conf
+    for key, most in ARROW_LIMITS.items():
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, str(most))
+    return df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has few enough rows, else ``df`` itself; either join is exact."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for name in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(16).cast("long"))
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def measured(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take together."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return df.agg(F.sum(row).alias("b")).first()["b"] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most BROADCAST_BYTES, else ``df`` itself; either join is exact."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: str, by: list[str], how: str = "left", salts: int = 32) -> DataFrame:
+    """Join ``rows`` with ``few`` (a row for each key) on a key of which a large share of the rows may have one value.
+
+    ``few`` is broadcast if it is measured to be small; else each of its rows goes to ``salts`` places, between which the
+    rows of a key are dealt by the columns ``by``. Rows without a key are spread too.
+    """
+    if measured(few) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), on, how)
+    deal = lambda n: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    rows = rows.withColumn("__salt", F.when(F.col(on).isNotNull(), deal(salts)).otherwise(deal(1 << 20)))
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(few, [on, "__salt"], how).drop("__salt")
 
 
 def ascii_lower(text: Column) -> Column:
