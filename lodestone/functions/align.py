@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,28 +66,15 @@ PUNCTS = ["!", ",", "?", "、", "。", "！", "，", "；", "？", "：", "「",
 SPACES = [" ", "\t", "\r", "\n"]
 
 
+#: A token: one letter without case, a <tag>, or any other character with the ASCII run behind it.
+_INK = r"[\x00-\x7F--[ \t\r\n]]"
+_TOKEN = regex.compile(rf"(?V1)[{regex.escape(''.join(PUNCTS + SPACES))}\p{{Zs}}\p{{Cn}}](*SKIP)(*FAIL)|\p{{Lo}}|<[{_INK}--[>]]*>?|(?s:.){_INK}*")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def characterised(texts: pd.Series) -> pd.Series:
     """Letters without case one by one; other runs up to a space, a character outside ASCII or, for <tags>, their end."""
-
-    def cut(t):
-        out, at = [], 0
-        while t and at < len(t):
-            ch, kind = t[at], unicodedata.category(t[at])
-            if ch in PUNCTS or ch in SPACES or kind in ("Zs", "Cn"):
-                at += 1
-                continue
-            end = at + 1
-            if kind != "Lo":
-                mark = ">" if ch == "<" else " "
-                while end < len(t) and ord(t[end]) < 128 and t[end] not in SPACES and t[end] != mark:
-                    end += 1
-                end += end < len(t) and t[end] == ">"
-            out.append(t[at:end])
-            at = end
-        return out
-
-    return texts.map(cut)
+    return texts.map(lambda t: _TOKEN.findall(t or ""))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,22 +89,29 @@ def tool_calls(texts: pd.Series) -> pd.Series:
     return texts.map(calls)
 
 
+def _pairs(text: str) -> dict[int, int]:
+    """Where each brace that opens is closed."""
+    waiting: list[int] = []
+    closed: dict[int, int] = {}
+    for brace in re.finditer("[{}]", text):
+        if brace.group() == "{":
+            waiting.append(brace.start())
+        elif waiting:
+            closed[waiting.pop()] = brace.start()
+    return closed
+
+
 @F.pandas_udf(T.StringType())
 def last_boxed_balanced(texts: pd.Series) -> pd.Series:
     r"""The last \boxed{...} or \fbox{...} with any depth of braces, or ``\boxed x`` up to a dollar sign; null if none."""
+    bare, marks = re.compile(r".*\\boxed (?P<rest>[^$]*)", re.S), [re.compile(r".*(?P<mark>\\boxed)", re.S), re.compile(r".*(?P<mark>\\fbox)", re.S)]
 
     def find(t):
-        if t is None:
-            return None
-        if "\\boxed " in t:
-            return "\\boxed " + t.rsplit("\\boxed ", 1)[1].split("$", 1)[0]
-        at = max(t.rfind("\\boxed"), -1)
-        at = at if at >= 0 else t.rfind("\\fbox")
-        depth = 0
-        for i in range(at, len(t)) if at >= 0 else ():
-            depth += (t[i] == "{") - (t[i] == "}")
-            if t[i] == "}" and not depth:
-                return t[at : i + 1]
-        return None
+        if t is None or (plain := bare.match(t)):
+            return None if t is None else "\\boxed " + plain["rest"]
+        found = next((m for m in (p.match(t) for p in marks) if m), None)
+        brace = t.find("{", found.end("mark")) if found else -1
+        end = _pairs(t).get(brace)
+        return None if end is None else t[found.start("mark") : end + 1]
 
     return texts.map(find)

@@ -132,7 +132,8 @@ def normalise_answer(c: Column) -> Column:
     for pattern, to in REWRITES:
         out = F.regexp_replace(out, pattern, to)
     out = F.replace(out, F.lit("$"), F.lit(""))
-    return strip(F.regexp_replace(out, r"(?<=^[0-9,]{0,200}),(?=[0-9,]*$)", ""))  # commas of a number
+    bare = F.replace(out, F.lit(","), F.lit(""))
+    return strip(F.when(bare.rlike(r"^[0-9]+\z"), bare).otherwise(out))  # a number without its commas
 
 
 # -- SQL in answers ------------------------------------------------------------------------------------------------------
@@ -194,20 +195,21 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]*>?", "")
 
 
-# Markup that the meeting-corpus normaliser drops, then full-width letters and signs, in its order.
-MARKUP = ["\u00a0", " ", "<sil>", "<%>", "<->", "<$>", "<#>", "<_>", "<space>", "`", "&", ","]
-WIDE = [("Ａ", "A"), ("ａ", "A"), ("ｂ", "B"), ("ｃ", "C"), ("ｋ", "K"), ("ｔ", "T"), ("，", ""), ("丶", ""), ("。", ""), ("、", ""), ("？", "")]
+# Tags that the meeting-corpus normaliser drops, in its order.
+MARKUP = ["<sil>", "<%>", "<->", "<$>", "<#>", "<_>", "<space>"]
+# Letters and signs that it changes or drops, before and after capitals are made.
+DROPPED, WIDE, NARROW = "`&,", "Ａａｂｃｋｔ，丶。、？", "AABCKT"
 
 
 def normalise_transcript(c: Column) -> Column:
     """A meeting transcript without markup and punctuation, in capitals where it has Latin letters."""
-    out = c
+    out = F.translate(c, "\u00a0 ", "")
+    plain = out
     for m in MARKUP:
         out = F.replace(out, F.lit(m), F.lit(""))
+    out = F.translate(F.when(F.contains(plain, F.lit("<")), out).otherwise(plain), DROPPED, "")
     out = F.when(out.rlike("[a-zA-Z]"), F.upper(out)).otherwise(out)
-    for old, new in WIDE:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return remove_punctuation(out)
+    return remove_punctuation(F.translate(out, WIDE, NARROW))
 
 
 def mixed_tokens(c: Column) -> Column:

@@ -37,9 +37,10 @@ def sft_records(turns: DataFrame) -> DataFrame:
 
 
 def map_roles(turns: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Rename roles; rows of other roles are left out."""
+    """Rename roles; a role that has no name is an error."""
     names = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
-    return turns.withColumn("role", names[F.col("role")]).where(F.col("role").isNotNull())
+    unknown = F.raise_error(F.concat(F.lit("unknown role "), F.coalesce("role", F.lit("null"))))
+    return turns.withColumn("role", F.coalesce(F.try_element_at(names, F.coalesce("role", F.lit(""))), unknown.cast("string")))
 
 
 def neighbours(turns: DataFrame) -> DataFrame:

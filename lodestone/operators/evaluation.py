@@ -26,12 +26,11 @@ def run_query(spark: SparkSession, sql: str | None, tables: dict[str, DataFrame]
             spark.catalog.dropTempView(name)
 
 
-def outcome(spark: SparkSession, response: str, gold: str, tables: dict[str, DataFrame]) -> dict:
-    """correct, incorrect, parse_error or error for one response; both queries failing counts as correct."""
-    row = spark.createDataFrame([(response,)], "r string").select(tx.clean_sql(tx.sql_answer(F.col("r"))).alias("sql")).withColumn("ok", tx.sql_valid(F.col("sql"), allow_cte=True)).first()
-    if not row["sql"] or not row["ok"]:
+def judge(spark: SparkSession, sql: str | None, gold: str, tables: dict[str, DataFrame]) -> dict:
+    """correct, incorrect, parse_error or error for one query (null: no valid one); both queries failing counts as correct."""
+    if not sql:
         return {"result": "parse_error", "error": None}
-    (a, why), (b, _) = run_query(spark, row["sql"], tables), run_query(spark, gold, tables)
+    (a, why), (b, _) = run_query(spark, sql, tables), run_query(spark, gold, tables)
     if a is None and b is None:
         return {"result": "correct", "error": why}
     if a is None or b is None:
@@ -42,18 +41,34 @@ def outcome(spark: SparkSession, response: str, gold: str, tables: dict[str, Dat
         return {"result": "error", "error": type(e).__name__}
 
 
-def reward(spark: SparkSession, response: str, gold: str, tables: dict[str, DataFrame]) -> float:
-    """-1 for a wrong format, 1 for equal results, else 0; here both queries failing is 0."""
-    done = outcome(spark, response, gold, tables)
-    return {"parse_error": -1.0, "correct": 0.0 if done["error"] else 1.0}.get(done["result"], 0.0)
+def answers(responses: DataFrame) -> DataFrame:
+    """Add ``sql``: the valid query of each ``response``, else null."""
+    sql = tx.clean_sql(tx.sql_answer(F.col("response")))
+    return responses.withColumn("sql", F.when(tx.sql_valid(sql, allow_cte=True), sql))
 
 
 def evaluate(spark: SparkSession, predictions: list[tuple[str, str, str]], tables: dict[str, DataFrame]) -> DataFrame:
-    """(sample_id, response, gold) on the driver, as SQL can't run inside executors: sample_id, result, error."""
-    done = [(i, *outcome(spark, r, g, tables).values()) for i, r, g in predictions]
+    """(sample_id, response, gold) to sample_id, result, error.
+
+    All responses are parsed in one pass; each distinct pair of queries runs once, from the driver, as SQL can't run
+    inside executors.
+    """
+    parsed = answers(spark.createDataFrame(predictions, "sample_id string, response string, gold string")).select("sample_id", "sql", "gold").collect()
+    known: dict = {}
+    done = []
+    for sample, sql, gold in parsed:
+        if (sql, gold) not in known:
+            known[sql, gold] = judge(spark, sql, gold, tables)
+        done.append((sample, *known[sql, gold].values()))
     return spark.createDataFrame(done, "sample_id string, result string, error string")
 
 
+def rewards(results: DataFrame) -> DataFrame:
+    """Add ``reward``: -1 for a wrong format, 1 for equal results, else 0; here both queries failing is 0."""
+    value = F.when(F.col("result") == "parse_error", -1.0).when((F.col("result") == "correct") & F.col("error").isNull(), 1.0).otherwise(0.0)
+    return results.withColumn("reward", value)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Counts of each result, rates, and accuracy by sample: one correct trajectory is enough."""
     names = ("correct", "incorrect", "parse_error", "error")
@@ -62,9 +77,15 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def pretty(df: DataFrame, most: int = 9000, rows: int = 50) -> str:
-    """A result as text: whole if short, else its first rows with a notice, else cut."""
-    names = df.columns
-    head = df.limit(rows + 1).collect()
-    lines = [" | ".join(names), *(" | ".join("NULL" if v is None else str(v) for v in r) for r in head[:rows])]
-    text = "\n".join(lines) + (f"\n... only the first {rows} rows are shown" if len(head) > rows else "")
-    return text if len(text) <= most else text[:most] + "... [truncated]"
+    """A result as text: whole if short, else its first rows with a notice, and that cut if it is still too long.
+
+    Rows are made text where they are and cut to ``most`` characters; as each is a line, ``most`` of them tell enough.
+    """
+    cells = (F.coalesce(F.col(f"c{i}").cast("string"), F.lit("NULL")) for i in range(len(df.columns)))
+    lines = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(F.substring(F.concat_ws(" | ", *cells), 1, most + 1).alias("line"))
+    head = [" | ".join(df.columns), *(r["line"] for r in lines.limit(most).toLocalIterator())]
+    text = "\n".join(head)
+    if len(text) <= most:
+        return text
+    text = f"Truncated to {rows} rows since returned response too long: " + "\n".join(head[: rows + 1])
+    return text if len(text) <= most else text[:most] + "... (further truncated)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import row_numbers
+
 
 def finite(c: Column) -> Column:
     """Null for infinity and not-a-number."""
@@ -12,26 +14,30 @@ def finite(c: Column) -> Column:
 
 
 def latency_stats(rows: DataFrame, value: str) -> DataFrame:
-    """n, mean, median, low, high and total of positive values."""
-    v = rows.where(F.col(value) > 0)
-    return v.agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.sum(value), 2).alias("total"))
+    """n, mean, median, low, high and total of positive values. The median is picked by rank, not from one buffer."""
+    v = rows.where(F.col(value) > 0).select(F.col(value).alias("v"))
+    counts = v.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
+    ranked = row_numbers(v, ["v"], "r").crossJoin(F.broadcast(counts.select("n")))
+    middle = ranked.where((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1)).agg(F.avg("v").alias("median"))
+    return counts.crossJoin(middle).select("n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "low", "high", F.round("total", 2).alias("total"))
 
 
 def exclusive_percentiles(rows: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
     """(group, p, value): exclusive percentiles of positive values; few values extrapolate.
 
-    The values at the two places that a percentile needs are picked by rank, so no group is collected in one row.
+    Values are numbered by range partitions and the counts of groups, so no group is sorted in one task or collected in
+    one row; then the values at the two places that a percentile needs are picked.
     """
-    from pyspark.sql.window import Window
-
     v = rows.where(F.col(value) > 0).select(group, F.col(value).alias("v"))
-    w = Window.partitionBy(group)
-    ranked = v.select(group, "v", F.row_number().over(w.orderBy("v")).alias("r"), F.count("*").over(w).alias("n"))
-    ranked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, percents))))
-    j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor((F.col("n") + 1) * F.col("p") / 100)))
-    d = (F.col("n") + 1) * F.col("p") - j * 100
-    weight = F.when(F.col("n") == 1, 100).when(F.col("r") == j, 100 - d).when(F.col("r") == j + 1, d)
-    return ranked.withColumn("weight", weight).where(F.col("weight").isNotNull()).groupBy(group, "p").agg((F.sum(F.col("v") * F.col("weight")) / 100).alias("value"))
+    ranked = row_numbers(v, [group, "v"], "at")
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    places = sizes.withColumn("p", F.explode(F.array(*map(F.lit, percents))))
+    places = places.withColumn("j", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor((F.col("n") + 1) * F.col("p") / 100))))
+    d = (F.col("n") + 1) * F.col("p") - F.col("j") * 100
+    pick = F.when(F.col("n") == 1, F.array(F.struct(F.col("first").alias("at"), F.lit(100).cast("long").alias("weight"))))
+    pick = pick.otherwise(F.array(*(F.struct((F.col("first") + F.col("j") + k - 1).alias("at"), w.cast("long").alias("weight")) for k, w in ((0, 100 - d), (1, d)))))
+    wanted = places.select(group, "p", F.explode(pick).alias("x")).select(group, "p", "x.at", "x.weight")
+    return ranked.select("at", "v").join(wanted, "at").groupBy(group, "p").agg((F.sum(F.col("v") * F.col("weight")) / 100).alias("value"))
 
 
 def equi_width_histogram(rows: DataFrame, value: str, buckets: int) -> DataFrame:

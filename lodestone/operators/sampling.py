@@ -45,6 +45,15 @@ def oversample(rows: DataFrame, key: str, n: int, total: int, seed: int = 42) ->
     return copies.orderBy("copy", ticket(key, seed), key).limit(total)
 
 
+def holdout(rows: DataFrame, key: str, last: int, seed: int = 42) -> DataFrame:
+    """Add ``held_out``: whether a row is among the ``last`` in shuffled order. The border is one key's digest."""
+    names = rows.select(F.col(key).alias("k"), ticket(key, seed).alias("t"))
+    border = names.orderBy(F.desc("t"), F.desc("k")).limit(last).agg(F.min(F.struct("t", "k")).alias("b")).first()["b"]
+    if border is None:
+        return rows.withColumn("held_out", F.lit(False))
+    return rows.withColumn("held_out", F.struct(ticket(key, seed).alias("t"), F.col(key).alias("k")) >= F.struct(F.lit(border["t"]).alias("t"), F.lit(border["k"]).alias("k")))
+
+
 def interleave(parts: list[tuple[DataFrame, float]], key: str) -> DataFrame:
     """Rows of several sources with a ``turn``: ordered by it, each source comes in proportion to its weight."""
     out = None
@@ -55,8 +64,7 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str) -> DataFrame:
 
 
 def quota(rows: DataFrame, group: str, order: str, target: int) -> DataFrame:
-    """An equal whole share of ``target`` for each group, in order."""
-    groups = rows.select(group).distinct().agg(F.count("*").alias("_groups"))
+    """An equal whole share of ``target`` for each group, in order. The limit is a number, so ranks are cut early."""
+    share = target // max(rows.select(group).distinct().count(), 1)
     w = Window.partitionBy(group).orderBy(order)
-    ranked = rows.withColumn("_rank", F.row_number().over(w)).crossJoin(F.broadcast(groups))
-    return ranked.where(F.col("_rank") <= F.expr(f"{target} div _groups")).drop("_rank", "_groups")
+    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= share).drop("_rank")

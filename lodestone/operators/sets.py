@@ -10,18 +10,27 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def _whole(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType | T.BooleanType) or isinstance(kind, T.DecimalType) and not kind.scale
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as sets of rows by position: order, repeats and names don't count, null equals null, 1 equals 1.0."""
+    """Equal as sets of rows by position: order, repeats and names don't count, null equals null, 1 equals 1.0.
+
+    Whole numbers are compared exactly, other numbers as doubles, and all else as text.
+    """
     if len(a.columns) != len(b.columns):
         return False
+    kinds = []
+    for x, y in zip(a.schema.fields, b.schema.fields, strict=True):
+        numbers = all(isinstance(f.dataType, T.NumericType | T.BooleanType) for f in (x, y))
+        kinds.append("decimal(38,0)" if numbers and _whole(x.dataType) and _whole(y.dataType) else "double" if numbers else "string")
 
     def plain(df):
-        cols = [F.col(f"`{f.name}`").cast("double") if isinstance(f.dataType, T.NumericType | T.BooleanType) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields]
-        return df.select(*(c.alias(f"c{i}") for i, c in enumerate(cols)))
+        to = lambda f, kind: F.col(f"`{f.name}`").cast("int").cast(kind) if isinstance(f.dataType, T.BooleanType) and kind != "string" else F.col(f"`{f.name}`").cast(kind)
+        return df.toDF(*(f"c{i}" for i in range(len(kinds)))).select(*(to(T.StructField(f"c{i}", f.dataType), k).alias(f"c{i}") for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True))))
 
     x, y = plain(a), plain(b)
-    if x.dtypes != y.dtypes:
-        x, y = (d.select(*(F.col(c).cast("string") for c in d.columns)) for d in (x, y))
     return x.subtract(y).isEmpty() and y.subtract(x).isEmpty()
 
 

@@ -41,9 +41,10 @@ def sft_drop_trailing_user(t):
     return rows.select("conv_id", "x.turn", "x.role", "x.text")
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END AS role, text FROM conversations WHERE role IN ('user', 'assistant')")
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END AS role, text, 'User' AS mask, 'VALUE_TO_TEXT' AS type FROM conversations WHERE role IN ('user', 'assistant')")
 def sft_role_map(t):
-    return chat.map_roles(t.conversations, {"user": "User", "assistant": "Assistant"})
+    rows = chat.map_roles(t.conversations.where(F.col("role") != "system"), {"user": "User", "assistant": "Assistant"})
+    return rows.select("conv_id", "turn", "role", "text", F.lit("User").alias("mask"), F.lit("VALUE_TO_TEXT").alias("type"))
 
 
 @query("SELECT conv_id, max_by(text, turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id")

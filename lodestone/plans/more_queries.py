@@ -67,24 +67,6 @@ def error_rate_summary(t):
     return g.agg(F.round(100.0 * F.sum(F.col("event_id") % 5) / F.sum(F.col("event_id") % 11 + 5), 6).alias("error_rate")).orderBy("error_rate")
 
 
-@query("SELECT conv_id, turn, CASE WHEN i > 0 AND before = 'system' THEN 'user' WHEN before = 'user' THEN 'assistant' WHEN before = 'assistant' THEN 'user' ELSE role END = role AS expected FROM (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))")
-def speaker_routing(t):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    route = F.create_map(*(F.lit(x) for x in ("system", "user", "user", "assistant", "assistant", "user")))
-    rows = t.conversations.select("conv_id", "turn", "role", before.alias("before"))
-    return rows.select("conv_id", "turn", (F.coalesce(route[F.col("before")], F.col("role")) == F.col("role")).alias("expected"))
-
-
-@query("SELECT doc_id, CAST(ceil(n / 40.0) AS BIGINT) AS lines FROM (SELECT doc_id, greatest(length(text), 1) AS n FROM documents)")
-def line_budget(t):
-    return t.documents.select("doc_id", F.ceil(F.greatest(F.length("text"), F.lit(1)) / 40).alias("lines"))
-
-
-@query("SELECT page_id, replace(replace(html, 'é', 'e'), 'ü', 'u') AS folded FROM pages")
-def character_map(t):
-    return t.pages.select("page_id", F.translate("html", "éü", "eu").alias("folded"))
-
-
 @query()
 def tool_combinations(t):
     """Walks of each label's first vector, padded to three members from the label, at most six."""
@@ -100,24 +82,3 @@ def tool_combinations(t):
 @query("SELECT c_custkey, dist FROM (SELECT c_custkey, levenshtein(c_name, c_mktsegment) AS dist FROM customer)")
 def edit_distance(t):
     return t.customer.select("c_custkey", F.levenshtein("c_name", "c_mktsegment").cast("long").alias("dist"))
-
-
-@query("SELECT doc_id, CAST(round(len(regexp_extract_all(substr(text, 1, length(text)), '[A-Z]')) * 1000.0 / length(text)) AS BIGINT) AS capitals FROM documents WHERE length(text) > 0")
-def capital_share(t):
-    rows = t.documents.where(F.length("text") > 0)
-    return rows.select("doc_id", F.round(F.regexp_count("text", F.lit("[A-Z]")) * 1000.0 / F.length("text")).cast("long").alias("capitals"))
-
-
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20")
-def valid_groups_until(t):
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(20)
-
-
-@query("SELECT source, string_agg(lang, ',' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
-def collected_set(t):
-    return t.documents.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
-
-
-@query("SELECT doc_id FROM documents WHERE NOT contains(text, '<')")
-def no_markup(t):
-    return t.documents.where(tx.count_of(F.col("text"), "<") == 0).select("doc_id")

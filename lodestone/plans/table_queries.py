@@ -367,35 +367,11 @@ def wer_corpus(t):
     return a.agg(F.sum("a.all").alias("n"), F.sum(F.col("a.sub") + F.col("a.ins") + F.col("a.del")).alias("errors"))
 
 
-@query()
-def substitution_histogram(t):
-    a = _near(t).select(F.explode(align.aligned(tx.words(F.col("ref")), tx.words(F.col("hyp")))["pairs"]).alias("p"))
-    return a.where(F.col("p.op") != "cor").groupBy("p.op", "p.ref", "p.hyp").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT word, sum(r) AS in_ref, sum(h) AS in_hyp FROM (SELECT unnest(regexp_extract_all(ref, '[^\\s]+')) AS word, 1 AS r, 0 AS h FROM ({_NEAR}) UNION ALL SELECT unnest(regexp_extract_all(hyp, '[^\\s]+')), 0, 1 FROM ({_NEAR})) GROUP BY word")
-def word_stats(t):
-    a = _near(t).select(F.explode(align.aligned(tx.words(F.col("ref")), tx.words(F.col("hyp")))["pairs"]).alias("p"))
-    side = lambda c, r, h: a.where(F.col(f"p.{c}") != "").select(F.col(f"p.{c}").alias("word"), F.lit(r).alias("r"), F.lit(h).alias("h"))
-    return side("ref", 1, 0).unionByName(side("hyp", 0, 1)).groupBy("word").agg(F.sum("r").alias("in_ref"), F.sum("h").alias("in_hyp"))
-
-
-@query()
-def script_clusters(t):
-    kind = F.when(F.col("w").rlike("^[0-9]+$"), "Number").when(F.col("w").rlike("^\\p{IsHan}+$"), "Mandarin").when(F.col("w").rlike("^\\p{IsLatin}+$"), "English").when(F.col("w").rlike("^\\p{IsHiragana}+$"), "Japanese").otherwise("Other")
-    return t.documents.select(F.explode(tx.words(F.col("text"))).alias("w")).groupBy(kind.alias("script")).agg(F.count("*").alias("n"))
-
-
 @query()
 def similarity_ratio(t):
     return _near(t).select("doc_id", F.round(align.similarity_ratio("ref", "hyp"), 6).alias("ratio"))
 
 
-@query()
-def characterised(t):
-    return t.documents.select("doc_id", F.size(align.characterised("text")).alias("n"), align.display_width("text").alias("width"))
-
-
 # -- JSON ----------------------------------------------------------------------------------------------------------------
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS parsed FROM events")
 def json_extract(t):

@@ -156,10 +156,9 @@ def tag_strip(t):
     return t.pages.select("page_id", tx.strip_tags(F.col("html")).alias("bare"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(upper(replace(replace(replace(s, ' ', ''), '&', ''), ',', '')), '[!,.;:?、！，。；：？《》 ]+', '', 'g')) AS normal FROM (SELECT doc_id, replace(text, chr(10), '') AS s FROM documents WHERE NOT contains(text, 'ß'))""")
+@query("""SELECT doc_id, trim(regexp_replace(upper(replace(replace(replace(replace(s, ' ', ''), '&', ''), ',', ''), 'ß', 'ss')), '[!,.;:?、！，。；：？《》 ]+', '', 'g')) AS normal FROM (SELECT doc_id, replace(text, chr(10), '') AS s FROM documents)""")
 def transcript_normalise(t):
-    rows = t.documents.where(~F.contains("text", F.lit("ß")))  # its capital differs between engines
-    return rows.select("doc_id", tx.normalise_transcript(F.concat(F.lit("<sil>"), F.replace("text", F.lit("\n"), F.lit("")))).alias("normal"))
+    return t.documents.select("doc_id", tx.normalise_transcript(F.concat(F.lit("<sil>"), F.replace("text", F.lit("\n"), F.lit("")))).alias("normal"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[一-鿿]|[A-Za-z'']+')) AS n FROM documents")
@@ -396,16 +395,6 @@ def prefix_limit(t):
     return t.documents.select("doc_id").orderBy("doc_id").limit(50)
 
 
-@query("""SELECT doc_id, tile, CAST(floor((sum(n_chars) OVER (PARTITION BY tile ORDER BY n_chars, doc_id) - 1) / 50000.0) AS BIGINT) AS batch FROM (SELECT doc_id, n_chars, ntile(30) OVER (ORDER BY n_chars, doc_id) AS tile FROM documents)""")
-def duration_buckets(t):
-    from pyspark.sql.window import Window
-
-    rows = ordering.row_numbers(t.documents.select("doc_id", "n_chars"), ["n_chars", "doc_id"], "number")
-    tiled = rows.select("doc_id", "n_chars", ordering.tile(F.col("number"), rows.count(), 30).alias("tile"))
-    run = F.sum("n_chars").over(Window.partitionBy("tile").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return tiled.select("doc_id", "tile", F.floor((run - 1) / 50000.0).alias("batch"))
-
-
 @query("SELECT doc_id, substr(name, 1, strpos(name || '(', '(') - 1) AS tool FROM (SELECT doc_id, source || '(' || lang || ')' AS name FROM documents)")
 def tool_name(t):
     call = F.concat("source", F.lit("("), "lang", F.lit(")"))

@@ -130,12 +130,6 @@ def record_validity(t):
     return t.documents.where((F.length(F.trim(text)) > 0) & (F.col("n_chars") > 0) & (F.col("n_chars") <= 50000000)).select("doc_id", "n_chars")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0.05 ELSE 0.5 END AS hypo_wer FROM documents WHERE doc_id % 4 = 0")
-def hypothesis_filter(t):
-    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0.05).otherwise(0.5).alias("hypo_wer"))
-    return rows.where(F.col("hypo_wer") <= 0.1)
-
-
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.n_chars > 100")
 def image_rows(t):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", F.when(F.col("n_chars") > 100, F.array("lang")).alias("messages"), F.array("source").alias("images"))
@@ -150,8 +144,3 @@ def per_source_stats(t):
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)the')) AS n FROM documents")
 def keyword_counts(t):
     return t.documents.select("doc_id", F.regexp_count("text", F.lit("(?i)the")).cast("long").alias("n"))
-
-
-@query("SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '<image')) = 0 AND doc_id IS NOT NULL")
-def one_image_filter(t):
-    return t.documents.where(F.col("doc_id").isNotNull() & (tx.count_of(F.concat(F.lit("<image>"), "text"), "<image") == 1)).select("doc_id")

@@ -82,12 +82,12 @@ def pipe_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recognition_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, ref, hyp) of lines ``id:<tab>ref=...`` and ``id:<tab>hyp=...``; others are skipped, a later line wins."""
+    """(id, ref, hyp) of lines ``id:<tab>ref=...`` and ``id:<tab>hyp=...``; other lines and incomplete pairs are skipped, a later line wins."""
     pattern = r"(?i)^(\S+):\t(ref|hyp)=(.*)$"
     rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))
     rows = rows.select(F.regexp_extract("value", pattern, 1).alias("id"), F.lower(F.regexp_extract("value", pattern, 2)).alias("kind"), F.regexp_extract("value", pattern, 3).alias("text"), "n").where(F.col("kind") != "")
     pick = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("text")), F.when(F.col("kind") == k, F.col("n")))
-    return rows.groupBy("id").agg(pick("ref").alias("ref"), pick("hyp").alias("hyp"))
+    return rows.groupBy("id").agg(pick("ref").alias("ref"), pick("hyp").alias("hyp")).where(F.col("ref").isNotNull() & F.col("hyp").isNotNull())
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
@@ -226,6 +226,46 @@ def write_transcripts(df: DataFrame, path: str) -> None:
     df.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)
 
 
+def _write_bytes(spark: SparkSession, path: str, contents: dict[str, bytes]) -> None:
+    """Small files by name, through the file system of ``path``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name, data in contents.items():
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = target.getFileSystem(conf).create(target, True)
+        out.write(bytearray(data))
+        out.close()
+
+
+def write_npy(spark: SparkSession, path: str, arrays: dict[str, list[int]]) -> None:
+    import io
+
+    import numpy as np
+
+    def packed(values):
+        np.save(buffer := io.BytesIO(), np.array(values, np.int64))
+        return buffer.getvalue()
+
+    _write_bytes(spark, path, {name: packed(v) for name, v in arrays.items()})
+
+
+def write_wav(spark: SparkSession, path: str, waves: dict[str, list[float]], rate: int) -> None:
+    """16-bit WAV files of one channel."""
+    import io
+    import wave
+
+    import numpy as np
+
+    def packed(values):
+        with wave.open(buffer := io.BytesIO(), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes((np.array(values) * 32767).round().astype("<i2").tobytes())
+        return buffer.getvalue()
+
+    _write_bytes(spark, path, {name: packed(v) for name, v in waves.items()})
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
     """Append a run's rows in its own partition."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
