@@ -337,18 +337,6 @@ def pad_bucket(t):
     return t.documents.select("doc_id", F.when(n <= 256, 256).when(n <= 512, 512).otherwise(1024).alias("bucket"))
 
 
-@query("SELECT doc_id, CAST(floor(3 * 99 / 7.0) AS BIGINT) AS fourth, 8 AS n FROM documents")
-def frame_indices(t):
-    at = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(i * 99 / 7.0))
-    return t.documents.select("doc_id", at[3].alias("fourth"), F.size(at).alias("n"))
-
-
-@query("SELECT doc_id, w, h, CAST(floor(w * least(1.0, sqrt(1000000.0 / (w * h)))) AS BIGINT) AS new_w FROM (SELECT doc_id, n_chars % 3000 + 28 AS w, n_chars % 1700 + 28 AS h FROM documents)")
-def image_resize_rule(t):
-    rows = t.documents.select("doc_id", (F.col("n_chars") % 3000 + 28).alias("w"), (F.col("n_chars") % 1700 + 28).alias("h"))
-    return rows.withColumn("new_w", F.floor(F.col("w") * F.least(F.lit(1.0), F.sqrt(1000000.0 / (F.col("w") * F.col("h"))))))
-
-
 @query("SELECT source, floor_div AS batch, string_agg(doc_id, '#' ORDER BY doc_id) AS packed, count(*) AS n FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS floor_div FROM documents) GROUP BY source, floor_div")
 def batch_pack(t):
     from pyspark.sql.window import Window

@@ -6,10 +6,11 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 FORMATS = {"parquet": "parquet", "json": "json", "jsonl": "jsonl", "csv": "csv", "txt": "text", "orc": "orc", "arrow": "arrow"}
@@ -74,6 +75,45 @@ def catalog_table(data_source: str, db_id: str) -> str:
     return f"{data_source}_{db_id}".lower()
 
 
+def catalog_name(source: Column, db_id: Column) -> Column:
+    """``catalog_table`` of columns."""
+    low = F.lower(source)
+    refuse = F.raise_error(F.concat(F.lit("unknown data source "), F.coalesce(source, F.lit("null")))).cast("string")
+    return F.concat(F.when(low.isin("synsql", "spider", "bird"), low).otherwise(refuse), F.lit("_"), F.lower(db_id))
+
+
+def sqlite_rows(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """The rows of one query of a SQLite file, rolled back afterwards."""
+    spark.dataSource.register(SqliteQuery)
+    return spark.read.format("sqlite").schema(schema).option("path", path).option("query", sql).load()
+
+
+def sqlite_tool(calls: DataFrame, path: str, call: str, schema: str) -> DataFrame:
+    """For each call ({"name": "execute_sql", "arguments": {"sql": ...}}) of ``calls`` its row beside each row of its query.
+
+    Other tools, broken calls and queries that fail or are no SELECT give no row.
+    """
+    sql = F.when(F.get_json_object(call, "$.name") == "execute_sql", F.get_json_object(call, "$.arguments.sql"))
+    rest = [f for f in calls.schema.fields if f.name != call]
+    out = T.StructType([*rest, *T.StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+            for b in batches:
+                rows = []
+                for *own, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if not q or q.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
+                        continue
+                    try:
+                        rows += [(*own, *r) for r in con.execute(q)]
+                    except sqlite3.Error:
+                        continue
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
+
+    return calls.select(*(f.name for f in rest), sql.alias("_sql")).mapInArrow(run, out)
+
+
 def pipe_labels(spark: SparkSession, path: str) -> DataFrame:
     """audio|prompt_text|prompt_audio|text lines; empty fields are removed and four must be left."""
     parts = F.filter(F.split("value", r"\|"), lambda x: x != "")
@@ -266,6 +306,20 @@ def write_wav(spark: SparkSession, path: str, waves: dict[str, list[float]], rat
     _write_bytes(spark, path, {name: packed(v) for name, v in waves.items()})
 
 
+def write_sqlite(df: DataFrame, path: str, table: str) -> None:
+    """A small table as a SQLite file, from the driver."""
+    rows = df.collect()
+    with sqlite3.connect(path) as con:
+        con.execute(f"CREATE TABLE {table} ({', '.join(df.columns)})")
+        con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(df.columns))})", [tuple(r) for r in rows])
+    con.close()
+
+
+def write_evaluation(df: DataFrame, path: str, config: dict) -> None:
+    """Results with the run's settings as columns; nested logs stay nested."""
+    write_parquet(df.select("*", *(F.lit(v).alias(k) for k, v in config.items())), path)
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
     """Append a run's rows in its own partition."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
