@@ -1,13 +1,13 @@
 """Language-model scoring: the probability of a text over all subword segmentations of its words.
 
-The pieces come from an existing vocabulary; their scores order them at first, and training texts then give them
-probabilities by expectation over all segmentations (forward and backward sums). A training word is itself an arc of
-its lattice, with its discounted count; the discounted mass goes to the pieces, so every word has a probability, the
-sum over all its segmentations, and all words' probabilities and the end's add up to one.
+The pieces and their weights come from an existing vocabulary's scores; a forward recursion in logarithms sums over all
+segmentations. A training word is itself an arc of its lattice, with its count less a discount for counts of its size;
+the discounted mass goes to the pieces, so every word has a probability, the sum over all its segmentations, and all
+words' probabilities and the end's add up to one.
 
 Scale: counts are grouped by word with partial sums. The lattice runs once for each distinct word. Texts meet their
-words' scores in two ways: the HOT most frequent words by broadcast (a fixed number of rows), all others by a join on
-the word, where no key is frequent.
+words' scores in one further pass: the HOT most frequent words by broadcast (a fixed number of rows), all others by a
+join on the word, where no key is frequent.
 """
 
 from __future__ import annotations
@@ -16,19 +16,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import SPACES, doc_mod, split_words, stored
+from lodestone.llm.common import bounded, doc_mod, stored
+from lodestone.llm.textblocks import LOWER, SPACE, blocks, runs
 
-HOT = 50_000
-DISCOUNT = 0.75
-ROUNDS = 3
+HOT = 100_000
+#: Bytes of text whose words are counted at once, and rows of a batch of other words.
+TEXTS, ROWS = 1 << 22, 50_000
+#: Places of a word that are worked on at once.
+STEP = 1 << 12
+SUMS = ["n_tokens", "n_known", "base", "lp", "sub"]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Surfaces of a sentencepiece vocabulary and their first log-probabilities. A leading space marks a word's start.
+    """Surfaces of a sentencepiece vocabulary and their log-probabilities. A leading space marks a word's start.
 
     Scores that are no log-probabilities but ranks (a merge vocabulary) give each piece a weight of 1 / (rank + 10).
     """
@@ -94,13 +100,18 @@ class Lattice:
             out.append(self._find(h[:, k:] - h[:, :-k] * power))
         return out
 
-    def _forward(self, arcs: list[np.ndarray], size: int) -> np.ndarray:
-        alpha = np.full((arcs[0].shape[0], size + 1), -np.inf)
-        alpha[:, 0] = 0
-        scores = [self.logp[a] for a in arcs]
-        for t in range(1, size + 1):
-            alpha[:, t] = np.logaddexp.reduce([alpha[:, t - k] + scores[k - 1][:, t - k] for k in range(1, min(len(arcs), t) + 1)], axis=0)
-        return alpha
+    def _forward(self, m: np.ndarray) -> np.ndarray:
+        """Of words of one length, the rows of ``m``: log of the sums over all segmentations. Long words go in steps."""
+        n, size = m.shape
+        alpha = np.full((n, self.longest + 1), -np.inf)  # at the last places, the latest at the end
+        alpha[:, -1] = 0
+        for first in range(0, size, STEP):
+            last, before = min(first + STEP, size), min(first, self.longest)
+            scores = [self.logp[a] for a in self._arcs(m[:, first - before : last])]
+            alpha = np.concatenate([alpha[:, alpha.shape[1] - before - 1 :], np.full((n, last - first), -np.inf)], axis=1)
+            for t in range(before + 1, alpha.shape[1]):
+                alpha[:, t] = np.logaddexp.reduce([alpha[:, t - k] + scores[k - 1][:, t - k] for k in range(1, min(len(scores), t) + 1)], axis=0)
+        return alpha[:, -1]
 
     def batches(self, words: list[bytes]):
         """Matrices of words of one length, with their places in ``words``."""
@@ -117,100 +128,129 @@ class Lattice:
         out = np.full(len(words), -np.inf)
         with np.errstate(over="ignore", invalid="ignore"):
             for part, m in self.batches(words):
-                out[part] = self._forward(self._arcs(m), m.shape[1])[:, -1]
+                out[part] = self._forward(m)
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """How often each piece is expected in the strings, one time each."""
-        total = np.zeros(len(self.logp))
-        with np.errstate(over="ignore", invalid="ignore"):
-            for _, m in self.batches(words):
-                size, arcs = m.shape[1], self._arcs(m)
-                alpha, beta = self._forward(arcs, size), np.full((len(m), size + 1), -np.inf)
-                beta[:, -1] = 0
-                scores = [self.logp[a] for a in arcs]
-                for t in range(size - 1, -1, -1):
-                    beta[:, t] = np.logaddexp.reduce([beta[:, t + k] + scores[k - 1][:, t] for k in range(1, min(len(arcs), size - t) + 1)], axis=0)
-                for k, a in enumerate(arcs, 1):
-                    w = np.exp(alpha[:, :-k] + scores[k - 1] + beta[:, k:] - alpha[:, -1:])
-                    total += np.bincount(a.ravel(), np.nan_to_num(w).ravel(), len(total))
-        return total[:-1]
-
-
-def _surfaces(column) -> list[bytes]:
-    return [b" " + w.encode() for w in column.to_pylist()]
-
-
-def piece_probabilities(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-probabilities from expected counts over ``words`` (word), each distinct word once."""
-    for _ in range(rounds):
-        model = words.sparkSession.sparkContext.broadcast((pieces, logp))
-
-        def count(batches, model=model):
-            lattice, total = Lattice(*model.value), None
-            for b in batches:
-                n = lattice.expected(_surfaces(b.column(0)))
-                total = n if total is None else total + n
-            if total is not None:
-                at = np.nonzero(total)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], ["piece", "n"])
-
-        sums = words.select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        n = np.full(len(pieces), 0.01)
-        for row in sums.toLocalIterator():  # a row for each piece of the vocabulary at most
-            n[row["piece"]] += row["n"]
-        logp = np.log(n) - math.log(n.sum())
-    return logp
+
+def token_array(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of each document in order (A-Z lower-cased), and each one's document."""
+    ink = ~SPACE[data]
+    at, size = runs(ink.astype(np.int8), offsets)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[data[ink]])])
+    return tokens, np.searchsorted(offsets, at, "right") - 1
+
+
+def discounts(counts: list[int]) -> list[float]:
+    """What to take off words of count 1, 2 and more, from how many words have the counts 1, 2, 3 and 4.
+
+    Where those are too few to tell, a half of each count up to 0.75.
+    """
+    n1, n2, n3, n4 = counts
+    out = [0.5, 0.75, 0.75]
+    if min(counts) > 0:
+        y = n1 / (n1 + 2 * n2)
+        guess = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        out = [g if 0 < g < k else d for k, g, d in zip((1, 2, 3), guess, out, strict=True)]
+    return out
+
+
+def _counted(batches):
+    """Per block of texts: word, its occurrences, and those in training rows."""
+    for b in batches:
+        train = b.column("train").to_numpy()
+        for first, last, data, offsets in blocks(b.column("text"), TEXTS):
+            word, doc = token_array(data, offsets)
+            each = pa.table({"word": word, "f": pa.array(train[first:last][doc])}).group_by("word").aggregate([("f", "count"), ("f", "sum")])
+            for part in each.select(["word", "f_count", "f_sum"]).rename_columns(["word", "f", "c"]).to_batches():
+                yield part
+
+
+def _summed(hot):
+    """Per text one row with the sums of its hot words, and a row for each other word with its occurrences.
+
+    ``hot``: words, and for each known (0 or 1), base, lp and sub.
+    """
+    names = ["doc_id", "h", "copies", "key", "word", "m", *SUMS]
+
+    def run(batches):
+        words, values = hot.value
+        for b in batches:
+            for first, last, data, offsets in blocks(b.column("text"), TEXTS):
+                n_docs = last - first
+                token, doc = token_array(data, offsets)
+                coded = token.dictionary_encode()
+                code, surface = coded.indices.to_numpy(), coded.dictionary
+                place = pc.fill_null(pc.index_in(surface, words), -1).to_numpy()
+                spot = place[code] if len(code) else np.zeros(0, np.int64)
+                often = spot >= 0
+                sums = [np.bincount(doc[often], v[spot[often]], n_docs) for v in (np.ones(len(words)), *values)]
+                pairs, m = np.unique(doc[~often] * max(len(surface), 1) + code[~often], return_counts=True)
+                owner, which = np.divmod(pairs, max(len(surface), 1))
+                ids, h = b.column("doc_id").slice(first, n_docs), b.column("h").slice(first, n_docs)
+                none = pa.nulls(n_docs, pa.string())
+                flat = [pa.array(x.astype(np.int64) if i < 2 else x) for i, x in enumerate(sums)]
+                yield pa.RecordBatch.from_arrays([ids, h, pa.array(np.ones(n_docs, np.int64)), h, none, pa.array(np.zeros(n_docs, np.int64)), *flat], names)
+                for low in range(0, len(owner), ROWS):
+                    o, w = pa.array(owner[low : low + ROWS]), pa.array(which[low : low + ROWS])
+                    nothing = pa.nulls(len(o), pa.int64())
+                    rest = [pa.nulls(len(o), pa.int64() if i < 2 else pa.float64()) for i in range(len(SUMS))]
+                    yield pa.RecordBatch.from_arrays([ids.take(o), h.take(o), nothing, nothing, surface.take(w), pa.array(m[low : low + ROWS]), *rest], names)
+
+    return run
 
 
 def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """For each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
-    Rows whose crc32(doc_id) mod 10 is not 0 train. A null text counts as ''; it has one token, the end. Repeated
-    rows are scored each; a null id folds as the text ''. Without training rows, half of the probability goes to the
-    end. Other columns are not read.
+    Rows whose crc32(doc_id) mod 10 is not 0 train. ``lattice_score`` is the log10 probability of the words over all
+    segmentations by the vocabulary's scores alone; in ``score`` training words are arcs too, and the end counts. A null
+    text counts as ''; it has one token, the end. Repeated rows are scored each; a null id folds as the text ''. Without
+    training rows, half of the probability goes to the end. Other columns are not read.
     """
     spark = docs.sparkSession
-    fold = doc_mod(F.col("doc_id"), 10)
-    rows = docs.select("doc_id", "text", (fold != 0).cast("long").alias("train"), F.xxhash64("text").alias("h"))
-    tokens = rows.select("doc_id", "h", "train", F.explode(split_words(F.col("text"), SPACES)).alias("word")).where(F.col("word") != "")
-    counts = stored(tokens.groupBy("word").agg(F.count("*").alias("f"), F.sum("train").alias("c")), "words")
+    rows = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (doc_mod(F.col("doc_id"), 10) != 0).cast("long").alias("train"), F.xxhash64("text").alias("h"))
+    counts = rows.select("text", "train").mapInArrow(_counted, "word string, f long, c long")
+    counts = stored(counts.groupBy("word").agg(F.sum("f").alias("f"), F.sum("c").alias("c")), "words")
 
     ends = rows.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n")).first()["n"]
-    known = counts.where(F.col("c") > 0)
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = n + ends, v + (ends > 0)
+    met = lambda k: F.count(F.when(F.col("c") == k, 1))
+    n, v, *few = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), *map(met, (1, 2, 3, 4))).first()
+    off = discounts(few)
+    n, v, many = n + ends, v + (ends > 0), v - few[0] - few[1] + (ends > 0)
+    mass = (off[0] * few[0] + off[1] * few[1] + off[2] * many) / n if n else 0.5
+    end = math.log10(max(ends - off[2], 0.25) / n) if ends else math.log10(0.5)
 
-    pieces, first = load_pieces(vocabulary)
-    model = spark.sparkContext.broadcast((pieces, piece_probabilities(known, pieces, first)))
-    back = math.log10(DISCOUNT * v / n) if n else math.log10(0.5)
-    end = math.log10((ends - DISCOUNT) / n) if n else math.log10(0.5)
+    model = spark.sparkContext.broadcast(load_pieces(vocabulary))
 
     def score(batches):
         lattice = Lattice(*model.value)
         for b in batches:
-            sub = lattice.score(_surfaces(b.column("word"))) / math.log(10)
-            own = np.maximum(b.column("c").to_numpy(zero_copy_only=False) - DISCOUNT, 0) / max(n, 1)
+            c = b.column("c").to_numpy()
+            sub = lattice.score([b" " + w.encode() for w in b.column("word").to_pylist()]) / math.log(10)
+            own = np.maximum(c - np.array([0.0, *off])[np.minimum(c, 3)], 0) / max(n, 1)
             with np.errstate(divide="ignore"):
-                both = np.logaddexp((sub + back) * math.log(10), np.log(own)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both)], [*b.schema.names, "lp"])
+                both = np.logaddexp(sub * math.log(10) + math.log(mass), np.log(own)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both), pa.array(sub)], [*b.schema.names, "lp", "sub"])
 
-    scored = stored(counts.select("word", "f", "c").mapInArrow(score, "word string, f long, c long, lp double"), "scored")
+    scored = stored(counts.select("word", "f", "c").mapInArrow(score, "word string, f long, c long, lp double, sub double"), "scored")
     lowest = math.log10(n + 0.1 * (v + 1))
-    scored = scored.select("word", "f", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 0.1) - lowest).alias("base"), "lp")
-    top = F.broadcast(stored(scored.orderBy(F.desc("f"), "word").limit(hot), "hot"))
-    sums = [F.sum("m").alias("n_tokens"), F.sum(F.col("known") * F.col("m")).alias("n_known"), F.sum(F.col("base") * F.col("m")).alias("base"), F.sum(F.col("lp") * F.col("m")).alias("lp")]
-
-    one = tokens.select("doc_id", "h", "word", F.lit(1).alias("m"))
-    often = one.join(top, "word").groupBy("doc_id", "h").agg(*sums)
-    seldom = one.join(top, "word", "left_anti").groupBy("doc_id", "h", "word").agg(F.sum("m").alias("m")).join(scored, "word").groupBy("doc_id", "h").agg(*sums)
-    ended = rows.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
-    parts = often.withColumn("copies", F.lit(0)).unionByName(seldom.withColumn("copies", F.lit(0)))
-    parts = parts.unionByName(ended.select("doc_id", "h", "copies", F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("lp")))
-    total = parts.groupBy("doc_id", "h").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "lp")))
+    scored = scored.select("word", "f", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 0.1) - lowest).alias("base"), "lp", "sub")
+    top = scored.orderBy(F.desc("f"), "word").limit(hot).toArrow().combine_chunks()  # ``hot`` rows at most
+    top_words = top.column("word").combine_chunks() if len(top) else pa.array([], pa.string())
+    shared = spark.sparkContext.broadcast((top_words, [top.column(c).to_numpy().astype(float) for c in ("known", "base", "lp", "sub")]))
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, copies long, key long, word string, m long, n_tokens long, n_known long, base double, lp double, sub double").fields])
+    parts = rows.select("doc_id", "h", "text").mapInArrow(_summed(shared), schema).withColumn("key", F.coalesce("key", F.xxhash64("word")))
+    # A text's own row has no word and no partner; its key only spreads it.
+    rest = scored.select(F.xxhash64("word").alias("key"), "word", *(F.col(c).alias(f"w_{c}") for c in ("known", "base", "lp", "sub")))
+    parts = parts.join(rest, ["key", "word"], "left")
+    sums = [F.sum(F.coalesce("n_tokens", "m")).alias("n_tokens"), F.sum(F.coalesce("n_known", F.col("w_known") * F.col("m"))).alias("n_known")]
+    sums += [F.sum(F.coalesce(c, F.col(f"w_{c}") * F.col("m"))).alias(c) for c in ("base", "lp", "sub")]
+    total = parts.groupBy("doc_id", "h").agg(F.sum("copies").alias("copies"), *sums)
     each = total.select("*", F.explode(F.expr("sequence(1L, copies)"))).withColumn("held_out", doc_mod(F.col("doc_id"), 10) == 0)
     return each.select(
         "doc_id", "held_out", (F.expr("n_tokens div copies") + 1).alias("n_tokens"), (F.expr("n_known div copies") + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies") + (math.log10(ends + 0.1) - lowest)).alias("base_score"),
-        (F.col("lp") / F.col("copies") + end).alias("score"),
+        (F.col("lp") / F.col("copies") + end).alias("score"), (F.col("sub") / F.col("copies")).alias("lattice_score"),
     )
