@@ -23,6 +23,22 @@ def test_formats(spark):
     assert one(spark, [good, good.replace("<think>b</think>", "")], tx.tool_answer_format) == [True, False]
 
 
+def test_numbers_lose_all_their_commas(spark):
+    long = ",".join(["123"] * 80)
+    assert one(spark, [long, "1,x", "(1,2)", ",5"], tx.normalise_answer) == ["123" * 80, "1,x", "(1,2)", "5"]
+
+
+def test_characterised(spark):
+    texts = ["Hi, 東京は<tag x>ok! a>b", "é-a ß", "<open tag", "", None, "don't stop\u00a0now"]
+    want = [["Hi,", "東", "京", "は", "<tag", "x>ok!", "a>b"], ["é-a", "ß"], ["<open", "tag"], [], [], ["don't", "stop", "now"]]
+    assert one(spark, texts, align.characterised) == want
+
+
+def test_last_boxed_closes_its_own_brace(spark):
+    texts = ["\\boxed{a}} \\boxed{b{c}d} }", "\\boxed{open", "} \\boxed{x}", "\\fbox{1} \\boxed{2}"]
+    assert one(spark, texts, jsons.last_boxed_balanced) == ["\\boxed{b{c}d}", None, "\\boxed{x}", "\\boxed{2}"]
+
+
 def test_answers(spark):
     assert one(spark, ["\\boxed{1} and \\boxed{\\frac{1}{2}}", "none"], tx.last_boxed) == ["\\frac{1}{2}", ""]
     assert one(spark, ["\\boxed{42}", "\\fbox{3}"], tx.remove_boxed) == ["42", None]

@@ -3,8 +3,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lodestone.operators import chat, graph, groups, metrics, sampling, sets
+from lodestone.operators import batching, chat, evaluation, graph, groups, metrics, recognition, sampling, sets
 from lodestone.sources import files
 from lodestone.streaming import events
 
@@ -36,6 +37,78 @@ def test_same_rows(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y")], "a int, b string")
     b = spark.createDataFrame([(None, "y"), (1.0, "x")], "p double, q string")
     assert sets.same_rows(a, b) and not sets.same_rows(a, b.limit(1)) and not sets.same_rows(a, a.select("a"))
+    big = lambda n: spark.createDataFrame([(n,)], "n long")
+    assert not sets.same_rows(big(2**53), big(2**53 + 1)) and sets.same_rows(big(2**53 + 1), big(2**53 + 1).select(F.col("n").cast("decimal(20,0)")))
+    assert sets.same_rows(spark.createDataFrame([(True,)], "b boolean"), big(1)) and not sets.same_rows(spark.createDataFrame([("1.0",)], "b string"), big(1))
+
+
+def test_duration_batches_keep_the_limit(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 90 + 1) for i in range(200)] + [(900, 400)], "k int, d int")
+    got = batching.duration_batches(rows, "k", "d", 3, 100, segment=25).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.tile, r.batch), []).append(r.d)
+    assert len(got) == 201 and all(sum(v) <= 100 or len(v) == 1 for v in by.values()) and [400] in by.values()
+
+
+def test_runs_stop_when_enough_is_there(spark):
+    groups = spark.createDataFrame([(k, k * 10 % 7, k % 2 == 0) for k in range(7)], "k int, done int, ok boolean")  # valid: 0 at 0, 2 at 6, 4 at 5, 6 at 4
+    assert {r.k for r in batching.until_valid(groups, "k", "done", "ok", 2).collect()} == {0, 5, 3, 1, 6} - ({5, 3, 1} - {k for k in (5, 3, 1) if k * 10 % 7 <= 4})
+    assert batching.until_valid(groups, "k", "done", "ok", 9).count() == 7
+    rows = spark.createDataFrame([(b, 10 * b + i) for b in range(5) for i in range(b)], "b int, k int")
+    assert sorted(r.k for r in batching.until_full(rows, "b", "k", 4, 5).collect()) == [10, 20, 21, 30]
+    with pytest.raises(ValueError):
+        batching.until_full(rows, "b", "k", 4, 2)
+
+
+def test_unknown_roles_are_refused(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "tool", "x")], "conv_id int, turn int, role string, text string")
+    assert chat.map_roles(turns.where("role = 'user'"), {"user": "User"}).first().role == "User"
+    with pytest.raises(Exception, match="unknown role tool"):
+        chat.map_roles(turns, {"user": "User"}).collect()
+
+
+def test_similarity_edges_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(70, None), (71, [0.0] * 6), (72, []), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:60]}
+    want = set()
+    for i in unit:
+        later = sorted(((-float(unit[i] @ unit[j]), j) for j in unit if j > i and unit[i] @ unit[j] >= 0.2))[:3]
+        want |= {(i, j) for w, j in later if -w >= 0.4}
+    for block in (1000, 16):
+        assert {(r.src, r.dst) for r in graph.similarity_edges(df, "id", "v", 0.2, 0.4, 3, block).collect()} == want
+
+
+def test_median_of_positive_values(spark):
+    df = spark.createDataFrame([(v,) for v in (5.0, -1.0, 1.0, 2.0, 9.0, None)], "v double")
+    r = metrics.latency_stats(df, "v").first()
+    assert (r.n, r.median, r.low, r.high, r.total) == (4, 3.5, 1.0, 9.0, 17.0)
+    assert metrics.latency_stats(df.where("v > 100"), "v").first().median is None
+
+
+def test_transcript_totals(spark):
+    rows = spark.createDataFrame([(["a", "7", "東", "x"], ["a", "8", "x", "y"]), ([], ["new"]), (["gone"], [])], "ref array<string>, hyp array<string>")
+    pairs = recognition.aligned_pairs(rows, "ref", "hyp")
+    t = recognition.totals(pairs).first()
+    assert (t.n, t.c, t.s, t.d, t.i, t.wer) == (5, 2, 1, 2, 2, 100.0)
+    assert {r.script: (r.n, r.s, r.d, r.i) for r in recognition.by_script(pairs).collect()} == {"English": (3, 0, 1, 2), "Number": (1, 1, 0, 0), "Mandarin": (1, 0, 1, 0)}
+    assert {r.word: (r.corr, r.tot_errs, r.in_ref, r.in_hyp) for r in recognition.by_word(pairs).collect()}["8"] == (0, 1, 0, 1)
+
+
+def test_incomplete_transcripts_are_skipped(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("a:\tref=one\na:\thyp=two\nb:\tref=alone\nnoise\n")
+    assert [tuple(r) for r in files.recognition_texts(spark, str(tmp_path)).collect()] == [("a", "one", "two")]
+
+
+def test_evaluation_runs_each_pair_once(spark):
+    tables = {"t": spark.range(3).toDF("x")}
+    cases = [("a", "<answer>SELECT x FROM t</answer>", "SELECT x FROM t ORDER BY x DESC"), ("a", "<answer>SELECT x FROM t</answer>", "SELECT x FROM t ORDER BY x DESC"), ("b", "none", "SELECT 1"), ("c", "<answer>SELECT y FROM t</answer>", "SELECT z FROM t"), ("d", "<answer>SELECT x + 1 FROM t</answer>", "SELECT x FROM t")]
+    got = evaluation.rewards(evaluation.evaluate(spark, cases, tables)).collect()
+    assert [(r.sample_id, r.result, r.reward) for r in got] == [("a", "correct", 1.0), ("a", "correct", 1.0), ("b", "parse_error", -1.0), ("c", "correct", 0.0), ("d", "incorrect", 0.0)]
 
 
 def test_leaders_depend_on_order(spark):
