@@ -1,8 +1,11 @@
 """Licence recognition by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences, each normalised sentence is mapped to the identifier of a known licence sentence, and
-the identifiers, in their order in the text, are matched against ordered licence rules. Each document is a row of its
-own: no shuffle, no join, so neither long texts nor common licence lines gather anywhere.
+the identifiers, in their order in the text, are matched against ordered licence rules. A rule consumes the sentences
+that it matches, so a later rule can't take them again. Each document is a row of its own: no shuffle, no join, so
+neither long texts nor common licence lines gather anywhere.
+
+Every known sentence holds one of the SIGNS; only texts with one are cut and looked up.
 """
 
 from __future__ import annotations
@@ -10,77 +13,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normalised sentences of well-known licences. A sentence's identifier is its place, from 1.
-SENTENCES = [
-    "licensed under the apache license version 2 0",
-    "licensed under the apache license version 2 0 the license",
-    "you may not use this file except in compliance with the license",
-    "released under the mit license",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "this work is licensed under the gnu general public license version 3",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "licensed under cc by nc 4 0",
-    "licensed under cc by 4 0",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "all rights reserved",
-    "spdx license identifier mit",
-    "spdx license identifier apache 2 0",
-    "spdx license identifier gpl 3 0 or later",
-]
-# Rules in order of precedence: a licence and the sentence identifiers that show it, one after another.
-RULES = [
-    ("MIT", [5, 6, 7]), ("MIT", [4]), ("MIT", [15]),
-    ("Apache-2.0", [2, 3]), ("Apache-2.0", [1]), ("Apache-2.0", [16]),
-    ("GPL-3.0", [9, 10]), ("GPL-3.0", [8]), ("GPL-3.0", [17]),
-    ("CC-BY-NC-4.0", [11]), ("CC-BY-4.0", [12]), ("BSD", [13]), ("All-rights-reserved", [14]),
-]
-#: A sentence ends at punctuation before white space, or with its line.
-BY_LINE = r"[.!?]+\s+|\n+"
-#: The same for texts whose lines are wrapped: only an empty line ends a sentence without punctuation.
-WRAPPED = r"[.!?]+\s+|\n\s*\n"
-
-
-def _sentences(text: Column, cut: str) -> Column:
-    plain = F.transform(F.split(text, cut), lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
-    return F.filter(plain, lambda s: s != "")
-
-
-def _known(sentences: Column, known: list[str]) -> Column:
-    places = F.array(*map(F.lit, known))
-    return F.filter(F.transform(sentences, lambda s: F.array_position(places, s)), lambda i: i > 0)
-
-
-def scan(docs: DataFrame, sentences: list[str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_sentences, n_known, sentence_ids, licenses, licensed.
-
-    ``sentence_ids``: known sentences in their order, comma-joined; ``licenses``: those whose rules match, in rule
-    order. A null or empty text has no sentence. Repeated rows and null ids keep their rows; other columns are not read.
+from lodestone.llm import license_rules
+
+SENTENCES, NAMES, RULES = license_rules.sentences(), license_rules.names(), license_rules.rules()
+HEAD, ALONE = license_rules.HEAD, license_rules.ALONE
+#: Each known sentence has one of these, before it is normalised; texts without them are not cut.
+SIGNS = (
+    r"(?i)licen[cs]e|(?:ed|able)[^A-Za-z0-9]+under|subject[^A-Za-z0-9]+to|cc0|cc[^A-Za-z0-9]+by|creative[^A-Za-z0-9]+commons|copyright|warrant|public[^A-Za-z0-9]+domain|free[^A-Za-z0-9]+software"
+    r"|rights[^A-Za-z0-9]+reserved|permi[st]|redistribut|liable|endorse|anyone[^A-Za-z0-9]+is|a[^A-Za-z0-9]+copy[^A-Za-z0-9]+of[^A-Za-z0-9]+the|merchantability"
+)
+#: A sentence ends at punctuation before white space, and where a line without letters and digits follows.
+BREAKS = r"[.!?;:]+[ \t\n\f\r]+|\n[^A-Za-z0-9\n]*\n"
+#: A colon that ends no sentence.
+COLON = r"(?i)(licen[cs]e|license-identifier):"
+#: Sentences that speak of a licence without being known.
+SPEAKS = r"\blicen[cs]ed? under\b|\bunder the terms of\b.*\blicen[cs]e\b|\bpermission (is|to) .*\bgranted\b|\bredistributions?\b.*\b(permitted|allowed)\b|\bspdx license identifier\b"
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, table.values())), F.array_position(F.array(*map(F.lit, table)), key).cast("int"))
+
+
+def _identifier(sentence: Column) -> Column:
+    """The identifier of a normalised sentence, or null. Sets are looked up by hash, so most sentences end there."""
+    head = F.regexp_extract(sentence, HEAD, 0)
+    name = F.substring(sentence, F.length(head) + 1, F.length(sentence))
+    named = name.isin(list(NAMES)) & ((head != "") | F.rlike(sentence, F.lit(ALONE)))
+    return F.when(sentence.isin(list(SENTENCES)), _looked_up(sentence, SENTENCES)).when(named, _looked_up(name, NAMES))
+
+
+def scan(docs: DataFrame, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_sentences, n_known, n_left, sentence_ids, licenses, licensed, status.
+
+    ``n_sentences``: of a text with one of the SIGNS, else 0. A known sentence may run over several lines; in a sentence
+    that isn't known, each of its lines may be one.
+    ``sentence_ids``: identifiers of known sentences in their order, comma-joined; ``n_left``: those that no rule
+    consumed. ``licenses``: those whose rules match, in rule order; ``status``: ``licensed`` if there is one, else
+    ``partial`` if sentences are known, ``unknown`` if a sentence speaks of a licence, ``none``. A null or empty text has
+    no sentence. Repeated rows and null ids keep their rows; other columns are not read.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", _sentences(text, BY_LINE).alias("s"), _sentences(text, WRAPPED).alias("p"))
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), _known(F.col("s"), sentences).alias("ids"), _known(F.col("p"), sentences).alias("wrapped"))
-    seq = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",;,"), F.array_join("wrapped", ","), F.lit(","))
-    hits = F.array(*(F.when(F.contains("seq", F.lit("," + ",".join(map(str, ids)) + ",")), F.lit(name)) for name, ids in rules))
-    rows = rows.withColumn("seq", seq).withColumn("found", F.array_distinct(F.array_compact(hits)))
+    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
+    cut = F.when(F.rlike(text, F.lit(SIGNS)), F.split(F.regexp_replace(text, COLON, "$1 "), BREAKS)).otherwise(none)
+    blocks = F.filter(F.transform(cut, lambda s: F.struct(_plain(s).alias("plain"), s.alias("raw"))), lambda b: b["plain"] != "")
+    blocks = F.transform(blocks, lambda b: F.struct(b["plain"].alias("plain"), b["raw"].alias("raw"), _identifier(b["plain"]).alias("id")))
+    rows = docs.select("doc_id", blocks.alias("b"))
+    lines = lambda b: F.when(b["id"].isNotNull(), F.array(b["id"])).when(F.contains(b["raw"], F.lit("\n")), F.transform(F.split(b["raw"], "\n"), lambda s: _identifier(_plain(s)))).otherwise(none)
+    ids = F.array_compact(F.flatten(F.transform("b", lines)))
+    rows = rows.select("doc_id", F.size("b").cast("long").alias("n_sentences"), ids.alias("ids"), F.exists("b", lambda b: F.rlike(b["plain"], F.lit(SPEAKS))).alias("speaks"))
+
+    order = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in rules))
+    start = F.struct(F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias("seq"), none.alias("found"))
+    match = lambda a, r: F.struct(F.replace(a["seq"], r["ids"], F.lit("|")).alias("seq"), F.when(F.contains(a["seq"], r["ids"]), F.array_append(a["found"], r["name"])).otherwise(a["found"]).alias("found"))
+    rows = rows.withColumn("m", F.when(F.size("ids") > 0, F.aggregate(order, start, match)).otherwise(start))
+    left = F.length("m.seq") - F.length(F.replace("m.seq", F.lit("<"), F.lit("")))
+    found = F.array_distinct("m.found")
+    status = F.when(F.size(found) > 0, "licensed").when(F.size("ids") > 0, "partial").when(F.col("speaks"), "unknown").otherwise("none")
     return rows.select(
-        "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"),
-        F.array_join("found", ",").alias("licenses"), (F.size("found") > 0).alias("licensed"),
+        "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), left.cast("long").alias("n_left"), F.array_join("ids", ",").alias("sentence_ids"),
+        F.array_join(found, ",").alias("licenses"), (F.size(found) > 0).alias("licensed"), status.alias("status"),
     )
 
 
 def oracle_sql() -> str:
-    known = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + "]"
-    cases = ", ".join(f"CASE WHEN contains(seq, ',{','.join(map(str, ids))},') THEN '{name}' END" for name, ids in RULES)
-    cut = lambda pattern: f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{pattern}'), lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda x: x <> '')"
-    ids = lambda s: f"list_filter(list_transform({s}, lambda x: coalesce(list_position({known}, x), 0)), lambda x: x > 0)"
-    names = ", ".join(f"'{n}'" for n in dict.fromkeys(n for n, _ in RULES))
+    pairs = lambda table: ", ".join(f"('{s}', '{k}')" for s, k in table.items())
+    keyed = lambda columns, rows: rf"""SELECT {columns}, t.s, coalesce(text_key, CASE WHEN head <> '' OR regexp_matches(t.s, '{ALONE}') THEN name_key END) AS key
+  FROM (SELECT *, regexp_extract(s, '{HEAD}') AS head FROM {rows}) t LEFT JOIN known ON t.s = known.s LEFT JOIN names ON substr(t.s, length(head) + 1) = names.name"""
+    rules = ", ".join(f"({i}, '{name}', '{''.join(f'<{x}>' for x in ids)}')" for i, (name, ids) in enumerate(RULES))
     return rf"""
-WITH a AS (SELECT doc_id, {cut(BY_LINE)} AS s, {cut(WRAPPED)} AS p FROM documents),
-b AS (SELECT doc_id, len(s) AS n_sentences, {ids('s')} AS ids, {ids('p')} AS wrapped FROM a),
-c AS (SELECT *, ',' || array_to_string(ids, ',') || ',;,' || array_to_string(wrapped, ',') || ',' AS seq FROM b),
-d AS (SELECT *, [{cases}] AS hits FROM c)
-SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,
-  array_to_string(list_filter([{names}], lambda x: list_contains(hits, x)), ',') AS licenses, len(list_filter(hits, lambda x: x IS NOT NULL)) > 0 AS licensed FROM d"""
+WITH RECURSIVE known(s, text_key) AS (VALUES {pairs(SENTENCES)}),
+names(name, name_key) AS (VALUES {pairs(NAMES)}),
+rules(n, name, ids) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, s[i] AS s, i FROM (SELECT r, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT r, regexp_split_to_array(regexp_replace(text, '{COLON}', '\1 ', 'g'), '{BREAKS}') AS s FROM d WHERE regexp_matches(text, '{SIGNS}')))),
+p AS (SELECT * FROM (SELECT r, i, s AS raw, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM w) WHERE s <> ''),
+q AS ({keyed('r, i, raw', 'p')}),
+l AS (SELECT r, i, j, trim(lower(regexp_replace(s[j], '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM (SELECT r, i, s, unnest(range(1, len(s) + 1)) AS j FROM (SELECT r, i, string_split(raw, chr(10)) AS s FROM q WHERE key IS NULL AND contains(raw, chr(10))))),
+a AS (SELECT r, i, 0 AS j, key FROM q UNION ALL SELECT r, i, j, key FROM ({keyed('r, i, j', 'l')})),
+k AS (SELECT * FROM (SELECT r, count(*) AS n_sentences, bool_or(regexp_matches(s, '{SPEAKS}')) AS speaks FROM q GROUP BY r) JOIN
+  (SELECT r, count(key) AS n_known, coalesce(string_agg(key, ',' ORDER BY i, j) FILTER (key IS NOT NULL), '') AS sentence_ids,
+    coalesce(string_agg('<' || key || '>', '' ORDER BY i, j) FILTER (key IS NOT NULL), '') AS seq FROM a GROUP BY r) USING (r)),
+m AS (SELECT r, 0 AS n, seq, [] :: VARCHAR[] AS found FROM k WHERE n_known > 0 UNION ALL
+  SELECT r, m.n + 1, replace(m.seq, ids, '|'), CASE WHEN contains(m.seq, ids) AND NOT list_contains(found, name) THEN list_append(found, name) ELSE found END FROM m JOIN rules ON rules.n = m.n),
+e AS (SELECT * FROM m WHERE n = {len(RULES)})
+SELECT doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known,
+  CAST(coalesce(length(e.seq) - length(replace(e.seq, '<', '')), 0) AS BIGINT) AS n_left, coalesce(sentence_ids, '') AS sentence_ids,
+  coalesce(array_to_string(found, ','), '') AS licenses, coalesce(len(found), 0) > 0 AS licensed,
+  CASE WHEN coalesce(len(found), 0) > 0 THEN 'licensed' WHEN coalesce(n_known, 0) > 0 THEN 'partial' WHEN coalesce(speaks, false) THEN 'unknown' ELSE 'none' END AS status
+FROM d LEFT JOIN k USING (r) LEFT JOIN e USING (r)"""
