@@ -6,14 +6,16 @@ source, so any store that Spark knows will do. Only records in several segments
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, stored
+from lodestone.llm.common import spread_join, stored
+from lodestone.storage import scratch
 
 #: Bytes of a record's block; longer blocks continue in further records.
 SEGMENT = 16_384
@@ -51,9 +53,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = rows.withColumn("id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex(F.xxhash64("url", "payload"))), F.lit(">")))
     long = rows.where(F.octet_length("payload") >= DEDUP_BYTES)
     kept = long.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "id")).alias("top")).where(F.col("n") > 1)
-    kept = kept.select("digest", F.col("top.page_id").alias("top"), F.col("top.id").alias("top_id"))
+    kept = stored(kept.select(F.col("digest").alias("digest_long"), F.col("top.page_id").alias("top"), F.col("top.id").alias("top_id")), "kept")
     rows = rows.withColumn("digest_long", F.when(F.octet_length("payload") >= DEDUP_BYTES, F.col("digest")))
-    rows = rows.join(kept.withColumnRenamed("digest", "digest_long"), "digest_long", "left")
+    rows = spread_join(rows, kept, "digest_long", ["id"])
     again = F.coalesce(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n")
     block = F.when(again, http).otherwise(F.concat(http, _chunked(F.col("payload")))).cast("binary")
@@ -66,6 +68,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(~first, "continuation").when(F.col("again"), "revisit").otherwise("response")),
         line("WARC-Record-ID", F.when(first, F.col("id")).otherwise(F.concat(F.rtrim(F.col("id"), F.lit(">")), F.lit("#"), number.cast("string"), F.lit(">")))),
+        line("WARC-Date", F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))),
         line("WARC-Target-URI", F.col("url")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")), first),
@@ -80,18 +83,52 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows.select(record).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
+def unpacked(data: bytes) -> tuple[bytes, bool]:
+    """Of an archive in gzip members, or none, what can be read, and whether that is all."""
+    if data[:2] != b"\x1f\x8b":
+        return data, True
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            return b"".join(out), False
+        if not member.eof:
+            return b"".join(out), False
+        data = member.unused_data
+    return b"".join(out), not data.strip(b"\0")
+
+
 def records(data: bytes):
-    """Headers (names in lower case) and block of each record of an archive."""
+    """Headers (names in lower case) and block of each record of an archive, and whether it was well-formed.
+
+    What stands between records, a header that breaks off and a block without a usable length are records without
+    headers or with those that are there, and not well-formed; reading goes on at the next line that begins a record.
+    """
     at = 0
-    while (start := data.find(b"WARC/1.", at)) == at and start >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        head = {k.lower(): v for k, v in head.items()}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-    if at < len(data):
-        raise ValueError(f"no record begins at byte {at}")
+    while at < len(data):
+        mark = data.find(b"\r\nWARC/", at)
+        beyond = len(data) if mark < 0 else mark + 2
+        end = data.find(b"\r\n\r\n", at)
+        if not data.startswith(b"WARC/", at) or end < 0:
+            if data[at:beyond].strip():
+                yield {}, data[at:beyond], False
+            at = beyond
+            continue
+        lines = [x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
+        head = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+        size = head.get("content-length", "")
+        if size.isascii() and size.isdigit():
+            block = data[end + 4 : end + 4 + int(size)]
+            yield head, block, len(block) == int(size) and "warc-type" in head and "warc-record-id" in head
+            at = end + 4 + int(size)
+            while data.startswith(b"\r\n", at):
+                at += 2
+        else:
+            mark = data.find(b"\r\nWARC/", end)
+            at = len(data) if mark < 0 else mark + 2
+            yield head, data[end + 4 : at], False
 
 
 def payload(block: bytes) -> tuple[bytes, bool]:
@@ -101,7 +138,10 @@ def payload(block: bytes) -> tuple[bytes, bool]:
         return body, bool(mark)
     out, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not digits or digits.strip(b"0123456789abcdefABCDEF"):
+            break
+        size = int(digits, 16)
         if not size:
             return b"".join(out), True
         out.append(body[end + 2 : end + 2 + size])
@@ -121,21 +161,30 @@ def _batch(rows: list[dict], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
 _FIELDS = {"kind": pa.string(), "id": pa.string(), "origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "refers_to": pa.string(), "digest": pa.string(), "block": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "complete": pa.bool_()}
 
 
+def _number(text: str | None) -> int | None:
+    """A count of a header; null if there is none, or no number."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 10 else None
+
+
 def _parse(batches):
     for b in batches:
         for data in b.column("content"):
             rows = []
-            for head, block in records(gzip.decompress(data.as_py())):
-                number = int(head.get("warc-segment-number", 0))
+            archive, whole = unpacked(data.as_py())
+            for head, block, good in records(archive):
+                kind, id_ = head.get("warc-type"), head.get("warc-record-id")
+                number = _number(head.get("warc-segment-number"))
                 row = {
-                    "kind": head["warc-type"], "id": head["warc-record-id"], "origin": head.get("warc-segment-origin-id", head["warc-record-id"]), "number": number,
-                    "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, "refers_to": head.get("warc-refers-to"), "digest": head.get("warc-payload-digest", "").removeprefix("sha1:"),
+                    "kind": kind if kind in ("response", "revisit", "continuation") or kind and good else "broken", "id": id_, "origin": head.get("warc-segment-origin-id", id_), "number": number or 0,
+                    "total": _number(head.get("warc-segment-total-length")), "refers_to": head.get("warc-refers-to"), "digest": head.get("warc-payload-digest", "").removeprefix("sha1:"),
                 }
-                if number:
+                if number and good:
                     row["block"] = block
-                elif row["kind"] == "response":
-                    row["payload_bytes"], row["payload_digest"], row["complete"] = _decoded(block)
+                elif row["kind"] != "revisit":
+                    row["payload_bytes"], row["payload_digest"], row["complete"] = _decoded(block, good)
                 rows.append(row)
+            if not whole:
+                rows.append({"kind": "broken", "number": 0, "digest": "", "payload_bytes": 0, "payload_digest": hashlib.sha1(b"").hexdigest(), "complete": False})
             if rows:
                 yield _batch(rows, _FIELDS)
 
@@ -158,7 +207,9 @@ def read_archives(docs_path: str, spark) -> DataFrame:
 
     Continuation records are grouped by origin, ordered by segment number, checked against the total length and
     decoded. ``complete`` is false where segments miss, the length differs, framing breaks off or the digest differs.
-    A revisit has the payload of the record that it refers to.
+    A revisit has the payload of the record that it refers to. What can't be read as a record, and the rest of an
+    archive that breaks off, is a row of kind ``broken``, its id null if there is none. Records of other types
+    (warcinfo, request, metadata and so on) are passed over. A file is read whole, by one task.
     """
     files = spark.read.format("binaryFile").load(docs_path).select("content")
     parsed = stored(files.mapInArrow(_parse, _PARSED), "records")
@@ -170,14 +221,16 @@ def read_archives(docs_path: str, spark) -> DataFrame:
     joined = joined.select("*", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)).cast("int"))))
     columns = ["id", "digest", "payload_bytes", "payload_digest", "complete"]
     whole = parsed.where((F.col("kind") == "response") & F.col("block").isNull()).select(*columns)
+    broken = parsed.where(F.col("kind").isin("broken", "continuation") & F.col("block").isNull())
     responses = stored(whole.unionByName(joined.withColumnRenamed("origin", "id").select(*columns)), "responses")
     responses = responses.withColumn("complete", F.col("complete") & (F.col("digest") == F.col("payload_digest")))
     again = parsed.where(F.col("kind") == "revisit").select("id", "refers_to")
     of = responses.dropDuplicates(["id"]).select(F.col("id").alias("refers_to"), "payload_bytes", "payload_digest", "complete")
-    of = of.join(again.select("refers_to").distinct(), "refers_to", "left_semi")
-    again = again.join(of, "refers_to", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    of = stored(of.join(again.select("refers_to").distinct(), "refers_to", "left_semi"), "referred")
+    again = spread_join(again, of, "refers_to", ["id"]).withColumn("complete", F.coalesce("complete", F.lit(False)))
     out = responses.select("id", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", "complete")
-    return out.unionByName(again.select("id", F.lit("revisit").alias("kind"), "refers_to", "payload_bytes", "payload_digest", "complete"))
+    broken = broken.select("id", F.lit("broken").alias("kind"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(False).alias("complete"))
+    return out.unionByName(again.select("id", F.lit("revisit").alias("kind"), "refers_to", "payload_bytes", "payload_digest", "complete")).unionByName(broken)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -187,10 +240,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     empty. Repeated rows keep their rows; a row without id revisits like any other, and rows of equal payload of which
     none has an id are all responses. Other columns are not read.
     """
-    import uuid
-
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archives(pages, path)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d*):", 1), F.lit("")).cast("long")
     found = read_archives(path, spark)
