@@ -45,6 +45,18 @@ def oversample(rows: DataFrame, key: str, n: int, total: int, seed: int = 42) ->
     return copies.orderBy("copy", ticket(key, seed), key).limit(total)
 
 
+def partners(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(key, partner): for each row ``n`` others of its group (all, if there are fewer), the next ones in shuffled order.
+
+    Rows meet by their numbers, so a group is never joined with itself.
+    """
+    placed = row_numbers(rows.select(group, key, ticket(key, seed).alias("_ticket")), [group, "_ticket", key], "_at")
+    sizes = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    asked = placed.join(sizes, group).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n)))).where(F.col("_j") < F.col("_n"))
+    asked = asked.select(key, (F.col("_first") + (F.col("_at") - F.col("_first") + F.col("_j")) % F.col("_n")).alias("_at"))
+    return asked.join(placed.select("_at", F.col(key).alias("partner")), "_at").select(key, "partner")
+
+
 def holdout(rows: DataFrame, key: str, last: int, seed: int = 42) -> DataFrame:
     """Add ``held_out``: whether a row is among the ``last`` in shuffled order. The border is one key's digest."""
     names = rows.select(F.col(key).alias("k"), ticket(key, seed).alias("t"))

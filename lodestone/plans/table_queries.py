@@ -9,7 +9,7 @@ from lodestone.functions import align, jsons
 from lodestone.functions import rewards as rw
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import graph, groups, metrics, sets
+from lodestone.operators import graph, groups, metrics, sampling, sets
 from lodestone.plans.registry import query
 
 
@@ -67,11 +67,9 @@ def keyed_zip(t):
     return t.events.select("event_id").join(t.orders.select("o_orderkey"), F.col("event_id") == F.col("o_orderkey"))
 
 
-@query("SELECT a.s_suppkey, b.s_suppkey AS partner FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY row_number() OVER (PARTITION BY a.s_suppkey ORDER BY md5(a.s_suppkey || '-' || b.s_suppkey), b.s_suppkey) <= 3")
+@query("WITH o AS (SELECT s_suppkey, s_nationkey AS k, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY md5(s_suppkey || '-42'), s_suppkey)) SELECT a.s_suppkey, b.s_suppkey AS partner FROM o a, (SELECT unnest([1, 2, 3]) AS j) JOIN o b ON a.k = b.k AND b.i = (a.i + j) % a.n WHERE j < a.n")
 def group_partners(t):
-    a, b = (t.supplier.select(F.col("s_suppkey").alias(n), F.col("s_nationkey").alias("k")) for n in ("s_suppkey", "partner"))
-    w = Window.partitionBy("s_suppkey").orderBy(F.md5(F.concat_ws("-", "s_suppkey", "partner")), "partner")
-    return a.join(b, "k").where(F.col("s_suppkey") != F.col("partner")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= 3).select("s_suppkey", "partner")
+    return sampling.partners(t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey", 3)
 
 
 # -- aggregations --------------------------------------------------------------------------------------------------------
@@ -221,6 +219,23 @@ def vector_mean(t):
     return rows.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
+def error_examples(t):
+    return t.events.where(F.col("event_type") == "error").select("event_id", "event_type", "value").orderBy("event_id").limit(20)
+
+
+@query("""WITH r AS (SELECT user_id, avg((event_type <> 'error') :: INT) AS run, avg((value > 5) :: INT) AS found, avg((event_id % 10 > 0) :: INT) AS valid, avg((value > 20) :: INT) AS good FROM events GROUP BY user_id)
+SELECT user_id, round(run, 6) AS run, array_to_string(list_filter([CASE WHEN run < 0.9 THEN 'run' END, CASE WHEN found < 0.9 THEN 'found' END, CASE WHEN valid < 0.9 THEN 'valid' END, CASE WHEN good < 0.8 THEN 'good' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r""")
+def failure_reasons(t):
+    """Success rates against their thresholds, and what falls short."""
+    share = lambda c: F.avg(c.cast("int"))
+    rates = {"run": share(F.col("event_type") != "error"), "found": share(F.col("value") > 5), "valid": share(F.col("event_id") % 10 > 0), "good": share(F.col("value") > 20)}
+    least = {"run": 0.9, "found": 0.9, "valid": 0.9, "good": 0.8}
+    rows = t.events.groupBy("user_id").agg(*(c.alias(k) for k, c in rates.items()))
+    short = F.array_compact(F.array(*(F.when(F.col(k) < v, k) for k, v in least.items())))
+    return rows.select("user_id", F.round("run", 6).alias("run"), F.array_join(short, ",").alias("reasons"))
+
+
 @query("SELECT CASE WHEN e > 10 THEN 'D' WHEN e > 5 THEN 'C' WHEN e > 2 THEN 'B' ELSE 'A' END AS grade, count(*) AS users FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY user_id) GROUP BY 1")
 def error_grades(t):
     e = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("e"))
@@ -291,7 +306,10 @@ def prompt_intersection(t):
 
 @query("SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_duplicates(t):
-    return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    """Grouped by digest and length; only the texts that are repeated are fetched."""
+    key = [F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("size")]
+    several = t.documents.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    return t.documents.select("doc_id", "text").join(several.select("doc_id", "copies"), "doc_id").select("text", "doc_id", "copies")
 
 
 @query()
@@ -327,12 +345,12 @@ def graph_components(t):
     return graph.components(t.embeddings.select(F.col("vec_id").alias("id")), _edges(t))
 
 
-@query(_CC + "SELECT (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT c) FROM (SELECT id, min(seen) AS c FROM r GROUP BY id)) AS components, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT id, min(seen) AS c FROM r GROUP BY id) GROUP BY c)) AS largest")
+@query(_CC + "SELECT (SELECT count(*) FROM embeddings) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT c) FROM (SELECT id, min(seen) AS c FROM r GROUP BY id)) AS components, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT id, min(seen) AS c FROM r GROUP BY id) GROUP BY c)) AS largest, round(2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM embeddings), 6) AS avg_degree, round(2.0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM embeddings) * ((SELECT count(*) FROM embeddings) - 1.0)), 6) AS density")
 def graph_stats(t):
     edges = _edges(t)
     sizes = graph.components(t.embeddings.select(F.col("vec_id").alias("id")), edges).groupBy("component").agg(F.count("*").alias("n"))
     one = sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.max("n").alias("largest"))
-    return one.crossJoin(edges.agg(F.count("*").alias("edges"))).select("nodes", "edges", "components", "largest")
+    return one.crossJoin(edges.agg(F.count("*").alias("edges"))).select("nodes", "edges", "components", "largest", F.round(2.0 * F.col("edges") / F.col("nodes"), 6).alias("avg_degree"), F.round(2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"))
 
 
 @query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_EDGES}) WHERE w >= 0.35), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, hop) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON r.id = b.src WHERE r.hop < 3) SELECT id, min(hop) AS hop FROM r GROUP BY id")

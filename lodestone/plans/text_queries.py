@@ -225,16 +225,15 @@ def composed_reward(t):
 
 
 @query("""SELECT doc_id, 'documents/' || lang AS data_source, text || '  Think step by step.' AS content, 'user' AS role, 'general' AS ability, 'rule' AS style, source AS ground_truth, 'train' AS split,
- row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents""")
+ row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents""")
 def rl_prompt_reshape(t):
-    from pyspark.sql.window import Window
-
+    numbers = ordering.row_numbers(t.documents.select("doc_id"), ["doc_id"], "number")
     row = F.struct(
         F.concat(F.lit("documents/"), "lang").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.concat("text", F.lit("  Think step by step.")).alias("content"))).alias("prompt"),
         F.lit("general").alias("ability"), F.struct(F.lit("rule").alias("style"), F.col("source").alias("ground_truth")).alias("reward_model"),
-        F.struct(F.lit("train").alias("split"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("index")).alias("extra_info"),
+        F.struct(F.lit("train").alias("split"), (F.col("number") - 1).alias("index")).alias("extra_info"),
     )
-    r = t.documents.select("doc_id", row.alias("r"))
+    r = t.documents.join(numbers, "doc_id").select("doc_id", row.alias("r"))
     return r.select("doc_id", "r.data_source", F.col("r.prompt")[0]["content"].alias("content"), F.col("r.prompt")[0]["role"].alias("role"), "r.ability", F.col("r.reward_model.style").alias("style"), F.col("r.reward_model.ground_truth").alias("ground_truth"), F.col("r.extra_info.split").alias("split"), F.col("r.extra_info.index").alias("idx"))
 
 
@@ -291,13 +290,20 @@ def valid_slice(t):
 
 @query("SELECT doc_id, len(p) AS n, list_sum(p) AS total FROM (SELECT doc_id, list_concat([1, 2, 3], list_transform(generate_series(1, mx - doc_id % 4), lambda x: 0)) AS p FROM (SELECT doc_id, max(doc_id % 4) OVER (PARTITION BY source) AS mx FROM documents))")
 def pad_to_longest(t):
-    from pyspark.sql.window import Window
-
-    most = F.max(F.col("doc_id") % 4).over(Window.partitionBy("source"))
-    rows = t.documents.select("doc_id", F.concat(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array_repeat(F.lit(0), (most - F.col("doc_id") % 4).cast("int"))).alias("p"))
+    longest = t.documents.groupBy("source").agg(F.max(F.col("doc_id") % 4).alias("most"))  # a row a batch, from partial maxima
+    pad = F.array_repeat(F.lit(0), (F.col("most") - F.col("doc_id") % 4).cast("int"))
+    rows = t.documents.select("doc_id", "source").join(longest, "source").select("doc_id", F.concat(F.array(F.lit(1), F.lit(2), F.lit(3)), pad).alias("p"))
     return rows.select("doc_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0), lambda s, x: s + x).cast("long").alias("total"))
 
 
+@query("SELECT doc_id, len(s) AS n, list_sum(s) AS total FROM (SELECT doc_id, range(1, 4 + doc_id % 4)[1:mn] AS s FROM (SELECT doc_id, min(3 + doc_id % 4) OVER (PARTITION BY source) AS mn FROM documents))")
+def curtail_to_shortest(t):
+    size = (F.col("doc_id") % 4 + 3).cast("int")
+    shortest = t.documents.groupBy("source").agg(F.min(size).alias("least"))
+    rows = t.documents.select("doc_id", "source").join(shortest, "source").select("doc_id", F.slice(F.sequence(F.lit(1), size), F.lit(1), F.col("least")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE n_chars >= 200 AND n_chars <= 5000 AND (doc_id % 3 <> 0 OR doc_id % 30 <= 18)")
 def duration_filter(t):
     codec = F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(1), (F.col("doc_id") % 30).cast("int")))
