@@ -2,23 +2,25 @@
 
 Groups (equal texts) are placed by falling size, each into the shard with the least room that still takes it; a
 balanced tree finds that shard. Groups of one size are placed as a run: the tightest shard takes as many as fit, which
-is what placing them one by one does. The driver therefore packs a histogram of sizes, never a list of groups. Sizes
-keep their 16 leading bits (rounded up), so the histogram has fewer than 2 million rows whatever the input; shares
-that small (3e-5) don't show in the balance. Ranks within a size and slots within a shard come from a range sort and
-the counts of its partitions.
+is what placing them one by one does. The driver therefore packs a histogram of exact sizes, never a list of groups.
+Different sizes add up to the whole input at most, so of T bytes the histogram has at most sqrt(2 T) rows: 14 million
+for 100 TB if every size up to 14 MB occurs, in fact as many as there are lengths of texts. Ranks within a size and
+slots within a shard come from a range sort and the counts of its partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import small, stored
+from lodestone.llm.common import small, spread_join, stored
 
 SHARDS = 24
 OVERHEAD = 8
-BITS = 16
+#: The search for the least capacity ends within this share of it.
+PRECISION = 1e-5
 
 
 class CapacityTree:
@@ -120,13 +122,13 @@ def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int |
 
 
 def pack(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """Best fit decreasing into ``shards`` bins, at the least capacity (by bisection) for which it needs no more."""
+    """Best fit decreasing into ``shards`` bins, at the least capacity (by bisection, to PRECISION) for which it needs no more."""
     total, largest = sum(s * n for s, n in runs), max((s for s, _ in runs), default=0)
     low = max(-(-total // shards), largest)
     high, best = low + largest, None
     if (found := best_fit_decreasing(runs, low, shards)) is not None:
         return found
-    while low < high:
+    while high - low > PRECISION * low:
         mid = (low + high) // 2
         if (found := best_fit_decreasing(runs, mid, shards)) is None:
             low = mid + 1
@@ -135,13 +137,6 @@ def pack(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int,
     return best if best is not None else best_fit_decreasing(runs, high, shards)
 
 
-def size_class(size: Column) -> Column:
-    """``size`` rounded up to its BITS leading bits."""
-    drop = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
-    step = F.pow(F.lit(2.0), drop).cast("long")
-    return F.ceil(size / step).cast("long") * step
-
-
 def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``: the place of each row among those of its ``key``, gapless from 0, by ``order``."""
     rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
@@ -165,12 +160,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("group"),
     )
     rows = stored(rows, "sized")
-    groups = rows.groupBy("group").agg(size_class(F.sum("size")).alias("class"))
-    groups = numbered(groups, "class", ["group"], "rank")
-    runs = [tuple(r) for r in groups.groupBy("class").count().toPandas().itertuples(index=False)]
-    spans = docs.sparkSession.createDataFrame([tuple(map(int, s)) for s in pack(runs, shards)], "class long, since long, until long, shard int")
-    placed = groups.join(F.broadcast(spans), "class").where((F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("until"))).select("group", "shard")
-    found = numbered(rows.join(placed, "group"), "shard", ["doc_id", "group"], "slot")
+    groups = numbered(rows.groupBy("group").agg(F.sum("size").alias("total")), "total", ["group"], "rank")
+    sizes = groups.groupBy("total").count().toArrow()  # a row a size
+    spans = pack(list(zip(sizes.column(0).to_pylist(), sizes.column(1).to_pylist(), strict=True)), shards)
+    spans = docs.sparkSession.createDataFrame(pa.table(dict(zip(("total", "since", "until", "shard"), map(list, zip(*spans, strict=True)), strict=True)) if spans else {k: pa.array([], pa.int64()) for k in ("total", "since", "until", "shard")}))
+    placed = groups.join(small(spans), "total").where((F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("until")))
+    placed = stored(placed.select("group", F.col("shard").cast("int").alias("shard")), "placed")
+    found = numbered(spread_join(rows, placed, "group", ["doc_id"], "inner"), "shard", ["doc_id", "group"], "slot")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
