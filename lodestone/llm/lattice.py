@@ -6,7 +6,7 @@ the discounted mass goes to the pieces, so every word has a probability, the sum
 words' probabilities and the end's add up to one.
 
 Scale: counts are grouped by word with partial sums. The lattice runs once for each distinct word. Texts meet their
-words' scores in one further pass: the HOT most frequent words by broadcast (a fixed number of rows), all others by a
+words' scores in one further pass: the most frequent words, HOT at most, by broadcast, all others by a
 join on the word, where no key is frequent.
 """
 
@@ -236,7 +236,15 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
     scored = stored(counts.select("word", "f", "c").mapInArrow(score, "word string, f long, c long, lp double, sub double"), "scored")
     lowest = math.log10(n + 0.1 * (v + 1))
     scored = scored.select("word", "f", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 0.1) - lowest).alias("base"), "lp", "sub")
-    top = scored.orderBy(F.desc("f"), "word").limit(hot).toArrow().combine_chunks()  # ``hot`` rows at most
+    # The most frequent words by a histogram of logarithms, so no task sees the candidates of all others.
+    step = F.floor(F.log2(F.col("f").cast("double")) * 16).alias("step")
+    at_least, room = None, hot
+    for at, some in sorted(scored.groupBy(step).count().collect(), reverse=True):  # 16 rows for each doubling
+        if some > room:
+            break
+        at_least, room = at, room - some
+    top = scored.where(step >= at_least) if at_least is not None else scored.limit(0)
+    top = top.toArrow().combine_chunks()  # ``hot`` rows at most
     top_words = top.column("word").combine_chunks() if len(top) else pa.array([], pa.string())
     shared = spark.sparkContext.broadcast((top_words, [top.column(c).to_numpy().astype(float) for c in ("known", "base", "lp", "sub")]))
 
