@@ -16,6 +16,8 @@ WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side of at most this many bytes, as measured, is broadcast; beyond it the same join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Rows of one key that one task should meet.
+PLACE = 50_000
 #: Rows and bytes of an Arrow batch at most.
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
@@ -69,18 +71,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
 
 
-def spread_join(rows: DataFrame, few: DataFrame, on: str, by: list[str], how: str = "left", salts: int = 32) -> DataFrame:
-    """Join ``rows`` with ``few`` (a row for each key) on a key of which a large share of the rows may have one value.
+def spread_join(rows: DataFrame, few: DataFrame, on: str, by: list[str], how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``few`` on a key of which a large share of the rows may have one value.
 
-    ``few`` is broadcast if it is measured to be small; else each of its rows goes to ``salts`` places, between which the
-    rows of a key are dealt by the columns ``by``. Rows without a key are spread too.
+    ``few`` is broadcast if it is measured to be small. Else keys of more than PLACE rows are counted; what ``few`` has of
+    them goes to a place for each PLACE rows, between which the rows are dealt by the columns ``by``. Rows without a key
+    are spread too.
     """
     if measured(few) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(few), on, how)
-    deal = lambda n: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
-    rows = rows.withColumn("__salt", F.when(F.col(on).isNotNull(), deal(salts)).otherwise(deal(1 << 20)))
-    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(few, [on, "__salt"], how).drop("__salt")
+    hot = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.ceil(F.count("*") / PLACE).cast("int").alias("__places")).where(F.col("__places") > 1)
+    hot = small(stored(hot, "hot"))
+    deal = lambda n: F.pmod(F.xxhash64(*by), n).cast("int")
+    rows = rows.join(hot, on, "left")
+    rows = rows.withColumn("__place", F.when(F.col(on).isNull(), deal(F.lit(1 << 20))).otherwise(F.coalesce(deal(F.col("__places")), F.lit(0)))).drop("__places")
+    few = few.join(hot, on, "left").withColumn("__place", F.explode(F.sequence(F.lit(0), F.coalesce("__places", F.lit(1)) - 1))).drop("__places")
+    return rows.join(few, [on, "__place"], how).drop("__place")
 
 
 def ascii_lower(text: Column) -> Column:
