@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small, split_words, stored, words
+from lodestone.llm.common import BROADCAST_BYTES, measured, small, split_words, spread_join, stored, words
 
 WINDOW = 10
 
@@ -38,23 +38,30 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of ``terms`` (term) occurs in all documents."""
-    found = _tokens(docs).select("term").join(small(terms), "term")
-    return found.groupBy("term").agg(F.count("*").alias("n"))
+    """How often each of ``terms`` (term) occurs in all documents. Tokens are counted before they meet terms that are many."""
+    tokens = _tokens(docs).select("term")
+    if measured(terms) <= BROADCAST_BYTES:
+        return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
 
 
 def positional_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Stored postings (term, doc_id, pos); of ``terms`` only, if given. Each file is a segment, sorted by term."""
     rows = _tokens(docs)
     if terms is not None:
-        rows = rows.join(small(terms), "term")
+        rows = spread_join(rows, terms, "term", ["doc_id", "pos"], "inner")
     return stored(rows.select("term", "doc_id", "pos").sortWithinPartitions("term"), "postings")
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows that can occur, with their rarest terms: (item, at, term1, off1, term2, off2); term2 is null for one word."""
+def rarest_terms(windows: DataFrame, counts: DataFrame, phrase: bool = True) -> DataFrame:
+    """Windows with their rarest terms: (item, at, term1, off1, term2, off2); term2 is null for one word.
+
+    For a ``phrase`` all terms must occur, so windows with one that never does are left out. Else such terms are passed
+    over, and the two rarest of the others taken.
+    """
     each = windows.select("item", "at", F.posexplode("terms").alias("off", "term"))
     each = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = each if phrase else each.where(F.col("n") > 0)
     ranked = each.groupBy("item", "at").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("t")).where(F.col("t")[0]["n"] > 0)
     second = F.get("t", F.lit(1))
     return ranked.select("item", "at", F.col("t")[0]["term"].alias("term1"), F.col("t")[0]["off"].alias("off1"), second["term"].alias("term2"), second["off"].alias("off2"))
@@ -65,7 +72,7 @@ def alignments(index: DataFrame, probes: DataFrame, slop: int = 0) -> DataFrame:
 
     With ``slop`` the second term may stand up to that many words off its place: proximity candidates.
     """
-    first = index.withColumnRenamed("term", "term1").join(small(probes), "term1")
+    first = spread_join(index.withColumnRenamed("term", "term1"), probes, "term1", ["doc_id", "pos"], "inner")
     first = first.select("doc_id", "item", (F.col("pos") - F.col("off1") - F.col("at")).alias("shift"), "term2", (F.col("pos") - F.col("off1") + F.col("off2")).alias("pos2"))
     single = first.where(F.col("term2").isNull()).select("doc_id", "item", "shift")
     if slop:
@@ -78,11 +85,12 @@ def alignments(index: DataFrame, probes: DataFrame, slop: int = 0) -> DataFrame:
     return single.unionByName(rest.select("doc_id", "item", "shift")).distinct()
 
 
-def _probed(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _probed(docs: DataFrame, benchmark: DataFrame, window: int, phrase: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     items, windows = benchmark_windows(benchmark, window)
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    probes = stored(rarest_terms(windows, term_counts(docs, terms)), "probes")
-    wanted = probes.select(F.explode(F.array_compact(F.array("term1", "term2"))).alias("term")).distinct()
+    items = stored(items, "items")
+    terms = stored(windows.select(F.explode("terms").alias("term")).distinct(), "terms")
+    probes = stored(rarest_terms(windows, term_counts(docs, terms), phrase), "probes")
+    wanted = stored(probes.select(F.explode(F.array_compact(F.array("term1", "term2"))).alias("term")).distinct(), "wanted")
     return items, probes, positional_index(docs, wanted)
 
 
@@ -92,11 +100,13 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     Null texts have no words; null or repeated doc_ids keep their rows, each judged by its own text. Items of no
     words match nothing; an item without id marks words but is not listed. Other columns are not read.
     """
-    items, probes, index = _probed(docs, benchmark, window)
-    found = alignments(index, probes).join(small(items), "item")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("al"))
-    d, f = docs.select("doc_id", "text").alias("d"), found.alias("f")
-    rows = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", words(F.col("d.text")).alias("w"), F.col("f.al").alias("al"))
+    # Inside, a document is known by a hash of its id and text, so rows without id are apart. Should two hashes meet,
+    # they share alignments, which step 5 tells apart.
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    items, probes, index = _probed(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark, window)
+    found = spread_join(alignments(index, probes), items, "item", ["doc_id"], "inner")
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("al"))
+    rows = keyed.join(small(stored(found, "alignments")), "key", "left").select("doc_id", words(F.col("text")).alias("w"), "al")
 
     def equal(a):
         """'1' and '0' for each word of the item: whether the document has it there."""
@@ -119,8 +129,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
     """Distinct (doc_id, item_id) where the two rarest terms of a window stand within ``slop`` words of their distance."""
-    items, probes, index = _probed(docs, benchmark, window)
-    return alignments(index, probes, slop).select("doc_id", "item").distinct().join(small(items.select("item", "item_id")), "item").select("doc_id", "item_id").distinct()
+    items, probes, index = _probed(docs, benchmark, window, phrase=False)
+    pairs = alignments(index, probes, slop).select("doc_id", "item").distinct()
+    return spread_join(pairs, items.select("item", "item_id"), "item", ["doc_id"], "inner").select("doc_id", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
