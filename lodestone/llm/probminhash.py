@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded, discard, small, stored
+from lodestone.llm.common import bounded, discard, small, spread_join, stored
 from lodestone.llm.textblocks import blocks, mix, shingles, weighted, word_hashes
 
 WORDS = 5
@@ -322,7 +322,7 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFr
     groups = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "node"))).alias("top"), F.min("node").alias("any"))
     placed = placed.join(groups, "component").select("node", "class_id", "class_size", F.coalesce("top.node", "any").alias("top"))
     several = stored(placed.where(F.col("class_size") > 1), "classes")
-    out = signed.select("doc_id", "node").join(several, "node", "left")
+    out = spread_join(signed.select("doc_id", "node"), several, "node", ["doc_id"])
     mine = F.col("top").isNull() | ((F.col("node") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     return out.select("doc_id", "node", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), mine.alias("representative"))
 
@@ -332,13 +332,15 @@ def representatives(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
     """One row of ``docs`` for each class of ``classes``, all columns; of rows equal in id and text, any one."""
     found = _classes(docs, bands, rows, threshold).where("representative").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
     found = stored(found, "representatives")
-    keyed = docs.withColumn("__node", _node()).alias("d")
+    # A row travels as one value, so that no column of it meets a name used here.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), _node().alias("of")).alias("d")
 
     def among(some: DataFrame) -> DataFrame:
         some = small(some).alias("r")
-        return keyed.join(some, (F.col("d.__node") == F.col("r.node")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
+        return keyed.join(some, (F.col("d.of") == F.col("r.node")) & F.col("d.id").eqNullSafe(F.col("r.doc_id")), "left_semi")
 
     out, several = among(found.where(F.col("n") == 1)), found.where(F.col("n") > 1)
     if not several.isEmpty():
-        out = out.unionByName(among(several).dropDuplicates(["__node"]))
-    return out.drop("__node")
+        out = out.unionByName(among(several).dropDuplicates(["of"]))
+    return out.select("row.*")
