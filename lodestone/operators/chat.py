@@ -43,6 +43,27 @@ def map_roles(turns: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return turns.withColumn("role", F.coalesce(F.try_element_at(names, F.coalesce("role", F.lit(""))), unknown.cast("string")))
 
 
+#: Who speaks in a turn of a role, and to whom; an agent that calls a tool speaks to the execution.
+SPEAKERS = {"user": "user", "assistant": "agent", "tool": "execution"}
+
+
+def routed(turns: DataFrame, most: int, phrase: str = "finish conversation", call: str = "<tool_call>") -> DataFrame:
+    """(conv_id, turn, sender, recipient) as far as each turn is spoken by the last recipient, the user first.
+
+    A conversation ends after ``most`` turns, with the user's ``phrase``, or before a turn out of order. Turns of other
+    roles are passed over.
+    """
+    names = F.create_map(*(F.lit(x) for kv in SPEAKERS.items() for x in kv))
+    rows = turns.withColumn("sender", F.try_element_at(names, F.coalesce("role", F.lit("")))).where(F.col("sender").isNotNull())
+    recipient = F.when(F.col("sender") != "agent", "agent").when(F.contains("text", F.lit(call)), "execution").otherwise("user")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumn("recipient", recipient)
+    over = (F.lag("sender").over(w) == "user") & F.contains(F.lower(F.lag("text").over(w)), F.lit(phrase))
+    wrong = F.col("sender") != F.coalesce(F.lag("recipient").over(w), F.lit("user"))
+    rows = rows.withColumn("stop", (wrong | F.coalesce(over, F.lit(False)) | (F.row_number().over(w) > most)).cast("int"))
+    return rows.withColumn("stopped", F.max("stop").over(w)).where(F.col("stopped") == 0).select("conv_id", "turn", "sender", "recipient")
+
+
 def neighbours(turns: DataFrame) -> DataFrame:
     """Question and answer pairs: each assistant turn with the user turn just before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")

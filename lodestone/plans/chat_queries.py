@@ -160,3 +160,11 @@ def item_validity(t):
 @query("""SELECT conv_id, sum(length(text)) AS total, list_aggregate(list(length(text) ORDER BY turn), 'max') AS longest, count(*) AS n FROM conversations GROUP BY conv_id""")
 def conversation_lengths(t):
     return t.conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("total"), F.max(F.length("text").cast("long")).alias("longest"), F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS sender, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role IN ('user', 'assistant')),
+r AS (SELECT conv_id, turn, sender, i, CASE WHEN sender = 'user' THEN 'agent' WHEN contains(text, ' the ') THEN 'execution' ELSE 'user' END AS recipient, text FROM o WHERE i = 1 AND sender = 'user' UNION ALL
+  SELECT o.conv_id, o.turn, o.sender, o.i, CASE WHEN o.sender = 'user' THEN 'agent' WHEN contains(o.text, ' the ') THEN 'execution' ELSE 'user' END, o.text FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1 WHERE o.sender = r.recipient AND o.i <= 6 AND NOT (r.sender = 'user' AND contains(lower(r.text), 'tion the')))
+SELECT conv_id, turn, sender, recipient FROM r""")
+def speaker_routing(t):
+    return chat.routed(t.conversations, 6, "tion the", " the ")

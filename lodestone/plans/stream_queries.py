@@ -26,6 +26,14 @@ def stream_distinct(t):
     return ev.collect_stream(ev.distinct_within(rows, ["event_type", "u"], "60 days")).select("event_type", "u")
 
 
+@query("SELECT 'cut-' || doc_id AS id, source AS audio, text, round(n_chars / 15.0, 3) AS duration FROM documents WHERE n_chars >= 15")
+def stream_cuts(t):
+    """A stream of documents as cuts of speech: their keys mapped, too short ones left out."""
+    rows = ev.read_stream(t.spark, f"{t.sf_dir}/documents.parquet", max_files=1)
+    cuts = rows.select(F.concat(F.lit("cut-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("audio"), "text", F.round(F.col("n_chars") / 15.0, 3).alias("duration"))
+    return ev.collect_stream(cuts.where(F.col("duration") >= 1.0))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(t):
     rows = ev.read_stream(t.spark, f"{t.sf_dir}/events.parquet")
