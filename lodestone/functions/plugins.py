@@ -32,6 +32,12 @@ def math_score(response: Column, gold: Column) -> Column:
     return F.when((boxed != "") & equivalent(boxed, gold), 1.0).otherwise(-1.0)
 
 
+@scorer("strict_box")
+def strict_box_score(response: Column, gold: Column) -> Column:
+    """1 if the last boxed answer of the last 100 characters is the gold one as it stands, else -1."""
+    return F.when(tx.last_boxed(F.right(response, F.lit(100))) == gold, 1.0).otherwise(-1.0)
+
+
 @scorer("format")
 def format_score(response: Column, gold: Column) -> Column:
     return F.when(tx.think_answer_format(response), 1.0).otherwise(-1.0)

@@ -257,6 +257,11 @@ def content_id(prefix: Column | str, canonical: Column, digits: int = 8) -> Colu
     return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.lit("_"), F.substring(F.md5(canonical), 1, digits))
 
 
+def canonical(record: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(record))))
+
+
 def split_name(path: Column) -> Column:
     low = F.lower(path)
     return F.when(F.contains(low, F.lit("train")), "train").when(F.contains(low, F.lit("test")), "test").when(F.contains(low, F.lit("val")) | F.contains(low, F.lit("dev")), "val").otherwise("processed")

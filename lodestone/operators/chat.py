@@ -43,6 +43,13 @@ def map_roles(turns: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return turns.withColumn("role", F.coalesce(F.try_element_at(names, F.coalesce("role", F.lit(""))), unknown.cast("string")))
 
 
+def appended(history: Column, role: Column, content: Column, tool_calls: Column | None = None, tool_call_id: Column | None = None) -> Column:
+    """``history`` (role, content, tool_calls, tool_call_id) with one more message; what it lacks is null."""
+    none = F.lit(None).cast("string")
+    fields = {"role": role, "content": content, "tool_calls": none if tool_calls is None else tool_calls, "tool_call_id": none if tool_call_id is None else tool_call_id}
+    return F.array_append(history, F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
 #: Who speaks in a turn of a role, and to whom; an agent that calls a tool speaks to the execution.
 SPEAKERS = {"user": "user", "assistant": "agent", "tool": "execution"}
 

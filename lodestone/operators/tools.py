@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def function_schema(params: Column) -> Column:
-    """JSON of parameters (name, type, description, required): an object with properties and the required names."""
-    props = F.map_from_entries(F.transform(params, lambda p: F.struct(p["name"], F.struct(p["type"].alias("type"), p["description"].alias("description")))))
+def function_schema(params: Column, more: tuple[str, ...] = ()) -> Column:
+    """JSON of parameters (name, type, description, required): an object with properties and the required names.
+
+    ``more`` names further fields, such as enum and default; a parameter without one leaves it out.
+    """
+    fields = ("type", "description", *more)
+    props = F.map_from_entries(F.transform(params, lambda p: F.struct(p["name"], F.struct(*(p[f].alias(f) for f in fields)))))
     needed = F.transform(F.filter(params, lambda p: p["required"]), lambda p: p["name"])
     return F.to_json(F.struct(F.lit("object").alias("type"), props.alias("properties"), needed.alias("required")))
 
 
+def resolvable(tools: Column, known: Column, least: int = 2) -> Column:
+    """Of an agent's tools those that are known, in order; null if they are fewer than ``least``."""
+    kept = F.filter(tools, lambda x: F.array_contains(known, x))
+    return F.when(F.size(kept) >= least, kept)
+
+
 def tool_text(name: Column, function: Column, params: Column) -> Column:
     """A tool for a prompt; the separator is a backslash and an n."""
     lines = F.transform(params, lambda p: F.concat(F.lit("- "), p["name"], F.lit(" ("), p["type"], F.lit(")"), F.when(p["required"], F.lit(" [Required]")).otherwise(F.lit(""))))

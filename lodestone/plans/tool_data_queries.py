@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import plugins
 from lodestone.functions import text as tx
-from lodestone.operators import evaluation, layout
+from lodestone.operators import chat, evaluation, layout, tools
 from lodestone.plans.registry import query
 from lodestone.sources import files
 from lodestone.storage import scratch
@@ -113,3 +114,49 @@ SELECT conv_id, turn, array_to_string((CASE WHEN line = '' THEN done ELSE list_a
 def wrapped_lines(t):
     rows = t.conversations.where(~tx.has_cjk(F.col("text")))
     return rows.select("conv_id", "turn", F.array_join(layout.wrapped(F.col("text")), "\n").alias("lines"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars % 120 <= 91 THEN 1.0 ELSE -1.0 END AS score FROM documents")
+def strict_box(t):
+    """The box stands n_chars % 120 characters before the end, its own nine included at most."""
+    box = F.when(F.col("doc_id") % 3 == 0, "\\boxed{7}").otherwise("\\boxed{8}")
+    rows = t.documents.select("doc_id", F.lit("strict_box").alias("source"), F.concat(box, F.repeat(F.lit("x"), (F.col("n_chars") % 120).cast("int"))).alias("r"), F.lit("7").alias("g"))
+    return plugins.score(rows, "source", "r", "g").select("doc_id", "score")
+
+
+@query("""SELECT conv_id, '[{"role":"user","content":"hi"},{"role":"assistant","content":"","tool_calls":"f' || conv_id || '"},{"role":"tool","content":"r","tool_call_id":"c' || conv_id || '"}]' AS messages FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def tool_call_history(t):
+    i, none = F.col("conv_id").cast("string"), F.lit(None).cast("string")
+    start = F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"), none.alias("tool_calls"), none.alias("tool_call_id")))
+    asked = chat.appended(start, F.lit("assistant"), F.lit(""), tool_calls=F.concat(F.lit("f"), i))
+    done = chat.appended(asked, F.lit("tool"), F.lit("r"), tool_call_id=F.concat(F.lit("c"), i))
+    return t.conversations.select("conv_id").distinct().select("conv_id", F.to_json(done).alias("messages"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'search,read' WHEN 1 THEN 'read,write' END AS tools FROM documents WHERE doc_id % 4 < 2")
+def agent_tools(t):
+    i, known = F.col("doc_id") % 4, F.array(*map(F.lit, ["write", "read", "search"]))
+    names = F.when(i == 0, F.array(*map(F.lit, ["search", "gone", "read"]))).when(i == 1, F.array(*map(F.lit, ["read", "write"]))).otherwise(F.array(F.lit("read"), F.lit("gone")))
+    return t.documents.select("doc_id", tools.resolvable(names, known).alias("t")).where(F.col("t").isNotNull()).select("doc_id", F.array_join("t", ",").alias("tools"))
+
+
+@query("""SELECT p_partkey, '{"type":"object","properties":{"size":{"type":"integer","description":"d","default":"' || p_size || '"},"kind":{"type":"string","description":"e","enum":["a","' || p_brand || '"]}},"required":["kind"]}' AS schema FROM part""")
+def function_schema_full(t):
+    none = F.lit(None).cast("array<string>")
+    param = lambda name, kind, text, needed, enum, default: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(text).alias("description"), F.lit(needed).alias("required"), enum.alias("enum"), default.alias("default"))
+    params = F.array(param("size", "integer", "d", False, none, F.col("p_size").cast("string")), param("kind", "string", "e", True, F.array(F.lit("a"), F.col("p_brand")), F.lit(None).cast("string")))
+    return t.part.select("p_partkey", tools.function_schema(params, ("enum", "default")).alias("schema"))
+
+
+@query("""SELECT doc_id, 'doc_' || substr(md5('{"a":"' || lang || '","b":"' || source || '","c":"' || doc_id || '"}'), 1, 8) AS id FROM documents""")
+def canonical_id(t):
+    record = F.create_map(F.lit("c"), F.col("doc_id").cast("string"), F.lit("a"), F.col("lang"), F.lit("b"), F.col("source"))
+    return t.documents.select("doc_id", tx.content_id("doc", tx.canonical(record)).alias("id"))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 10, r_name FROM region")
+def appended_lines(t):
+    path = scratch(t.spark, "log") + ".jsonl"
+    for shift in (0, 10):
+        files.write_jsonl(t.region.select((F.col("r_regionkey") + shift).alias("r_regionkey"), "r_name"), path, mode="append")
+    return files.load(t.spark, path, "r_regionkey long, r_name string")
