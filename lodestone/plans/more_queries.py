@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.functions import text as tx
 from lodestone.operators import graph, sampling
 from lodestone.plans.registry import query
 from lodestone.sources import files
@@ -18,8 +16,7 @@ def folder_skip_list(t):
     for lang in ("en", "fr", "de", "es"):
         part = t.documents.where(F.col("lang") == lang).select("doc_id", "lang")
         part.coalesce(1).write.mode("append").parquet(f"{path}/{'CC3M-' if lang == 'fr' else ''}{lang}")
-    rows = t.spark.read.option("recursiveFileLookup", True).parquet(path)
-    return rows.where(~F.col("_metadata.file_path").rlike("(?i)cc3m|558k")).select("doc_id", "lang")
+    return files.parquet_folder(t.spark, path, "cc3m|558k").select("doc_id", "lang")
 
 
 @query("SELECT n_nationkey, n_name, true AS named FROM nation")
@@ -35,7 +32,7 @@ def latest_file(t):
     path = ev.scratch(t.spark, "runs")
     t.region.limit(1).coalesce(1).write.parquet(f"{path}/a")
     t.region.coalesce(1).write.parquet(f"{path}/b")
-    return t.spark.read.parquet(files.latest_file(t.spark, path, "*.parquet")).agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(files.latest_of(t.spark, path, ["*.none", "*.parquet"])).agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey FROM supplier")

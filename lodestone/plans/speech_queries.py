@@ -12,16 +12,16 @@ from lodestone.plans.registry import query
 from lodestone.sources import files
 from lodestone.storage import scratch
 
-# Words of conversations against a changed copy: "th" and "an" are misheard; of texts of 8 words or more, fewer than a
+# Words of conversations against a changed copy: "th" and "an" are misheard as what no word has; of texts of 8 words or more, fewer than a
 # third of them misheard, a word is put in front and the last one lost. So the least alignment is known.
-_WORDS = r"SELECT conv_id, role, w, list_transform(w, lambda x: replace(replace(x, 'th', 't'), 'an', 'un')) AS m FROM (SELECT conv_id, role, regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM conversations)"
+_WORDS = r"SELECT conv_id, role, w, list_transform(w, lambda x: replace(replace(x, 'th', 'tqz'), 'an', 'uqz')) AS m FROM (SELECT conv_id, role, regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM conversations)"
 _SHIFT = f"SELECT *, len(w) >= 8 AND 3 * wrong < len(w) AS shifted FROM (SELECT *, len(list_filter(list_zip(w, m), lambda p: p[1] <> p[2])) AS wrong FROM ({_WORDS}))"
 _FRONT = f"SELECT *, CASE WHEN shifted THEN len(list_filter(list_zip(w[:-2], m[:-2]), lambda p: p[1] <> p[2])) ELSE wrong END AS s FROM ({_SHIFT})"
 
 
 def _heard(t, shift: bool = True):
     w = F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))
-    rows = t.conversations.select("conv_id", "role", w.alias("ref"), F.transform(w, lambda x: F.replace(F.replace(x, F.lit("th"), F.lit("t")), F.lit("an"), F.lit("un"))).alias("hyp"))
+    rows = t.conversations.select("conv_id", "role", w.alias("ref"), F.transform(w, lambda x: F.replace(F.replace(x, F.lit("th"), F.lit("tqz")), F.lit("an"), F.lit("uqz"))).alias("hyp"))
     if not shift:
         return rows
     wrong = F.size(F.filter(F.arrays_zip("ref", "hyp"), lambda p: p["ref"] != p["hyp"]))
@@ -144,9 +144,9 @@ def room_response(t):
     return t.embeddings.select("vec_id", F.round(F.aggregate(wet, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query()
+@query(f"SELECT 'sub' AS op, r AS ref, h AS hyp, count(*) AS n FROM ({_PAIRS}) WHERE r <> h GROUP BY r, h")
 def substitution_histogram(t):
-    pairs = recognition.aligned_pairs(_heard(t), "ref", "hyp")
+    pairs = recognition.aligned_pairs(_heard(t, False), "ref", "hyp")
     return pairs.where(F.col("op") != "cor").groupBy("op", "ref", "hyp").agg(F.count("*").alias("n"))
 
 

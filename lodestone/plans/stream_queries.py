@@ -137,7 +137,8 @@ def page_filter(t):
     return t.pages.where(F.contains("html", F.lit("<nav>"))).select("page_id")
 
 
-@query()
+@query("SELECT event_id, 'f' AS name, props AS arguments FROM events UNION ALL SELECT event_id, 'g', '{}' FROM events WHERE event_id % 2 = 0")
 def tool_call_rows(t):
     call = F.concat(F.lit('{"name": "f", "arguments": '), "props", F.lit("}"))
-    return t.events.select("event_id", F.explode(jsons.tool_calls(call)).alias("c")).select("event_id", "c.name", "c.arguments")
+    again = F.when(F.col("event_id") % 2 == 0, F.concat(call, F.lit(' then {"arguments": {}, "name": "g"}'))).otherwise("")
+    return t.events.select("event_id", F.explode(jsons.tool_calls(F.concat(call, F.lit(" and "), again, F.lit(" "), call))).alias("c")).select("event_id", "c.name", "c.arguments")

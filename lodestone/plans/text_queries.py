@@ -273,10 +273,12 @@ def rollout_expansion(t):
     return rollouts(t.documents.select("doc_id"), 4, "doc_id").select("rollout_index", "doc_id", F.col("k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, f AS speed, round(n_chars / f, 6) AS duration FROM documents, (VALUES (0.9), (1.0), (1.1)) AS s(f)")
+@query("SELECT doc_id, f AS speed, round(n_chars / f, 6) AS duration FROM documents, (VALUES (0.9), (1.0), (1.1)) AS s(f) WHERE f = 1.0 OR CAST('0x' || substr(md5(doc_id || '-42'), 1, 7) AS BIGINT) % 100 < 80")
 def speed_perturbation(t):
-    speeds = F.explode(F.array(F.lit(0.9), F.lit(1.0), F.lit(1.1)))
-    return t.documents.select("doc_id", "n_chars", speeds.alias("speed")).select("doc_id", "speed", F.round(F.col("n_chars") / F.col("speed"), 6).alias("duration"))
+    """Three speeds for the training split, one for the others."""
+    rows = sampling.split(t.documents.select("doc_id", "n_chars"), "doc_id", {"train": 80, "val": 15, "test": 5})
+    speeds = F.explode(F.when(F.col("split") == "train", F.array(F.lit(0.9), F.lit(1.0), F.lit(1.1))).otherwise(F.array(F.lit(1.0))))
+    return rows.select("doc_id", "n_chars", speeds.alias("speed")).select("doc_id", "speed", F.round(F.col("n_chars") / F.col("speed"), 6).alias("duration"))
 
 
 @query("SELECT doc_id, right(text, length(text) // 2) AS prompt_tail, left(text, length(text) // 2) AS response_head FROM documents")

@@ -160,3 +160,17 @@ def appended_lines(t):
     for shift in (0, 10):
         files.write_jsonl(t.region.select((F.col("r_regionkey") + shift).alias("r_regionkey"), "r_name"), path, mode="append")
     return files.load(t.spark, path, "r_regionkey long, r_name string")
+
+
+@query("SELECT * FROM (VALUES ('a', 1.0), ('b', -1.0), ('c', 0.0), ('d', 0.0)) AS v(sample_id, reward)")
+def sql_rewards(t):
+    cases = [("a", "<answer>SELECT r_name FROM region</answer>", "SELECT r_name AS x FROM region ORDER BY 1"), ("b", "no answer", "SELECT 1"), ("c", "<answer>SELECT count(*) FROM nation WHERE n_regionkey = 0</answer>", "SELECT count(*) FROM nation"), ("d", "<answer>SELECT nope FROM region</answer>", "SELECT neither FROM region")]
+    return evaluation.rewards(evaluation.evaluate(t.spark, cases, {"region": t.region, "nation": t.nation})).select("sample_id", "reward")
+
+
+@query("SELECT 'read' AS kind, count(*) AS n FROM region UNION ALL SELECT 'unreadable', 1 UNION ALL SELECT 'no_object', 2")
+def json_object_counts(t):
+    path = scratch(t.spark, "objects")
+    texts = {f"{r['r_regionkey']}.json": '{"k": %d}' % r["r_regionkey"] for r in t.region.select("r_regionkey").collect()}  # five rows
+    files.write_texts(t.spark, path, texts | {"a.json": "[1]", "b.json": "3", "c.json": "{open", "d.txt": "x"})
+    return files.json_objects(t.spark, path, "k int")[1]

@@ -57,9 +57,24 @@ def json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parquet_folder(spark: SparkSession, path: str, skip: str) -> DataFrame:
-    """A folder's parquet files but those whose name matches ``skip`` (a pattern, any case)."""
-    rows = spark.read.parquet(path)
-    return rows.where(~F.col("_metadata.file_name").rlike(f"(?i){skip}"))
+    """Parquet files of a folder and those below it, but for paths that match ``skip`` (a pattern, any case)."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+    return rows.where(~F.col("_metadata.file_path").rlike(f"(?i){skip}"))
+
+
+def json_objects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The JSON objects of a folder's *.json files, and how many files were read, unreadable or no objects."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    parsed = F.try_parse_json("value")
+    kind = F.when(parsed.isNull(), "unreadable").when(F.trim("value").startswith("{"), "read").otherwise("no_object")
+    rows = files.select("value", kind.alias("kind"), F.col("_metadata.file_name").alias("_source_file"))
+    found = rows.where(F.col("kind") == "read").select(F.from_json("value", schema).alias("v"), "_source_file").select("v.*", "_source_file")
+    return found, rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def latest_of(spark: SparkSession, path: str, globs: list[str]) -> str | None:
+    """The newest file by the first pattern that any file's name matches."""
+    return next((found for g in globs if (found := latest_file(spark, path, g))), None)
 
 
 def latest_file(spark: SparkSession, path: str, glob: str) -> str | None:
@@ -276,6 +291,10 @@ def _write_bytes(spark: SparkSession, path: str, contents: dict[str, bytes]) ->
         out.close()
 
 
+def write_texts(spark: SparkSession, path: str, texts: dict[str, str]) -> None:
+    _write_bytes(spark, path, {name: text.encode() for name, text in texts.items()})
+
+
 def write_npy(spark: SparkSession, path: str, arrays: dict[str, list[int]]) -> None:
     import io
 
