@@ -4,23 +4,26 @@ One filter holds all languages: each position has a bit for each language, so th
 is the set of languages that contain it. A text's n-grams give each language a count; the count expected from false
 positives alone is taken off, and the largest rest decides.
 
-The model is learned from a sample of at most SAMPLE documents a language, so its size is bounded; every text is then
-read whole by a map without shuffle.
+The model is learned from a sample of at most about SAMPLE documents and SAMPLE_BYTES bytes a language, so its size is
+bounded; every text is then read whole by a map without shuffle. Texts are taken in blocks and their n-grams one length
+at a time, so a worker holds a few megabytes however many texts come at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import doc_mod
-from lodestone.llm.textblocks import LETTER, LOWER, SPACE, blocks, mix  # noqa: F401
+from lodestone.llm.common import bounded, doc_mod, stored
+from lodestone.llm.textblocks import LETTER, LOWER, blocks, mix
 
-SAMPLE = 4_000
+SAMPLE, SAMPLE_BYTES = 4_000, 64 << 20
 SIZES = (3, 4, 5)
 #: An n-gram belongs to a language if it occurs at least this often there, at this share of its highest rate at least.
 LEAST, SHARE = 4, 0.3
@@ -28,33 +31,33 @@ HASHES = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, sizes=SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams of each document, letters only, other runs one space; and each one's document."""
+def grams(data: np.ndarray, offsets: np.ndarray, sizes=SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size the hashes of each document's byte n-grams (letters only, other runs one space) and their documents."""
     n_docs = len(offsets) - 1
     # Each document stands between spaces of its own, so that n-grams see its first and last word's edges.
-    at = np.arange(len(data)) + 2 * np.repeat(np.arange(n_docs), np.diff(offsets)) + 1
-    text, doc = np.zeros(len(data) + 2 * n_docs, np.uint8), np.repeat(np.arange(n_docs), np.diff(offsets) + 2)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets) + 2)
+    text = np.zeros(len(doc), np.uint8)
+    at = np.arange(len(data)) + np.repeat(2 * np.arange(n_docs) + 1, np.diff(offsets))
     text[at] = np.where(LETTER[data], LOWER[data], 0)
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != 0) | (text[:-1] != 0) | (doc[1:] != doc[:-1])
     text, doc = text[keep], doc[keep]
-    out, owner = [], []
-    with np.errstate(over="ignore"):
-        for k in sizes:
-            if len(text) < k:
-                continue
-            h = np.full(len(text) - k + 1, np.uint64(k))
+    for k in sizes:
+        n = len(text) - k + 1
+        if n <= 0:
+            continue
+        h = np.full(n, np.uint64(k))
+        with np.errstate(over="ignore"):
             for j in range(k):
-                h = h * _BASE + text[j : len(text) - k + 1 + j]
-            same = doc[: len(text) - k + 1] == doc[k - 1 :]
-            out.append(mix(h[same]))
-            owner.append(doc[: len(text) - k + 1][same])
-    return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                h *= _BASE
+                h += text[j : n + j]
+        same = doc[:n] == doc[k - 1 :]
+        yield mix(h[same]), doc[:n][same]
 
 
 @dataclass
 class Filter:
-    """``masks`` at each position; ``rates``: how likely an n-gram that a language lacks seems to be there."""
+    """``masks`` at each position, in words of up to 64 languages; ``rates``: how likely an n-gram that a language lacks seems to be there."""
 
     languages: list[str]
     masks: np.ndarray
@@ -62,81 +65,97 @@ class Filter:
 
     @staticmethod
     def of(languages: list[str], hashes: np.ndarray, masks: np.ndarray) -> Filter:
-        kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-        table = np.zeros(1 << max(16, (8 * max(len(hashes), 1)).bit_length()), kind)
+        """``masks``: for each n-gram its languages, a row of 64-bit words."""
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(t).itemsize), np.uint64)
+        table = np.zeros((1 << max(16, (8 * max(len(hashes), 1)).bit_length()), -(-max(len(languages), 1) // 64)), kind)
         for j in range(HASHES):
             np.bitwise_or.at(table, Filter.place(hashes, j, len(table)), masks.astype(kind))
-        full = np.array([np.mean((table >> kind(i)) & kind(1)) for i in range(len(languages))])
+        full = np.array([np.mean((table[:, i // 64] >> kind(i % 64)) & kind(1)) for i in range(len(languages))])
         return Filter(languages, table, full**HASHES)
 
     @staticmethod
     def place(hashes: np.ndarray, j: int, size: int) -> np.ndarray:
-        return (mix(hashes + np.uint64(j + 1)) & np.uint64(size - 1)).astype(np.int64)
-
-    def contains(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it, as bits."""
         with np.errstate(over="ignore"):
-            out = self.masks[self.place(hashes, 0, len(self.masks))]
-            for j in range(1, HASHES):
-                out &= self.masks[self.place(hashes, j, len(self.masks))]
+            return (mix(hashes + np.uint64(j + 1)) & np.uint64(size - 1)).astype(np.int64)
+
+    def contains(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram those of languages 64 * ``word`` and on that contain it, as bits."""
+        masks = self.masks[:, word]
+        out = masks[self.place(hashes, 0, len(masks))]
+        for j in range(1, HASHES):
+            out &= masks[self.place(hashes, j, len(masks))]
         return out
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each document and language how many n-grams it contains, less the false positives."""
-        h, doc = grams(data, offsets)
-        found, n_docs = self.contains(h), len(offsets) - 1
-        total = np.bincount(doc, minlength=n_docs)[:, None]
-        bits = [np.bincount(doc[(found >> type(found[0])(i)) & type(found[0])(1) != 0], minlength=n_docs) if len(found) else np.zeros(n_docs) for i in range(len(self.languages))]
-        return np.maximum((np.stack(bits, 1) - total * self.rates) / np.maximum(1 - self.rates, 1e-9), 0)
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Filter:
-    """Learn from ``docs`` (doc_id, text, lang) whose crc32(doc_id) mod 4 is not 2: about ``sample`` of each language."""
+        n_docs = len(offsets) - 1
+        total, each = np.zeros((n_docs, 1)), np.zeros((n_docs, len(self.languages)))
+        one = self.masks.dtype.type(1)
+        for h, doc in grams(data, offsets):
+            total[:, 0] += np.bincount(doc, minlength=n_docs)
+            for first in range(0, len(self.languages), 64):
+                found = self.contains(h, first // 64)
+                for i in range(first, min(first + 64, len(self.languages))):
+                    each[:, i] += np.bincount(doc[(found >> self.masks.dtype.type(i - first)) & one != 0], minlength=n_docs)
+        return np.maximum((each - total * self.rates) / np.maximum(1 - self.rates, 1e-9), 0)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Filter:
+    """Learn from ``docs`` (doc_id, text, lang) whose crc32(doc_id) mod 4 is not 2.
+
+    About ``sample`` documents of each language are drawn by a hash of their id, fewer where their texts have more than
+    ``sample_bytes`` bytes together. Any number of languages will do.
+    """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_mod(F.col("doc_id"), 4) != 2))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    languages = sorted(sizes)
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages don't fit one bitmask")
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()  # a row a language
+    share = {r["lang"]: min(1.0, sample / r["n"], sample_bytes / max(r["bytes"], 1)) for r in sizes}
+    languages = sorted(share)
     if not languages:
-        return Filter([], np.zeros(1 << 16, np.uint8), np.zeros(0))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))))
+        return Filter([], np.zeros((1 << 16, 1), np.uint8), np.zeros(0))
+    shares = F.create_map(*(F.lit(x) for k in languages for x in (k, share[k])))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    train = train.where(unit < share[F.col("lang")]).select(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).alias("lang"), "text")
+    train = train.where(unit < shares[F.col("lang")]).select((F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).alias("lang"), "text")
 
     def count(batches):
         for b in batches:
-            langs = b.column(0).to_numpy() - 1
+            langs = b.column(0).to_numpy()
             for first, last, data, offsets in blocks(b.column(1)):
-                h, doc = grams(data, offsets)
-                own = langs[first:last][doc]
-                for i in np.unique(own):
-                    g, n = np.unique(h[own == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                for h, doc in grams(data, offsets):
+                    own = langs[first:last][doc]
+                    for i in np.unique(own):
+                        g, n = np.unique(h[own == i], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    each = train.mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    each = stored(bounded(train).mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*(F.lit(x) for k, v in totals.items() for x in (k, float(v))))[F.col("lang")]
     best = each.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("of"))
     in_lang = F.filter("of", lambda x: (x["n"] >= LEAST) & (x["rate"] >= SHARE * F.col("top")))
-    mask = F.aggregate(in_lang, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
-    table = best.select("gram", mask.alias("mask")).where(F.col("mask") != 0).toArrow()  # bounded by the sample
-    return Filter.of(languages, *(table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "mask")))
 
+    def word(w: int):
+        bit = lambda x: F.when(F.floor(x["lang"] / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"] % 64)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(in_lang, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x))).alias(f"w{w}")
+
+    words = range(-(-len(languages) // 64))
+    table = best.where(F.size(in_lang) > 0).select("gram", *map(word, words)).toArrow()  # bounded by the sample
+    masks = np.stack([table.column(f"w{w}").to_numpy().astype(np.int64).view(np.uint64) for w in words], 1)
+    return Filter.of(languages, table.column("gram").to_numpy().astype(np.int64).view(np.uint64), masks)
 
-def predict(docs: DataFrame, model: Filter) -> DataFrame:
-    """Add lang_pred and score to ``docs`` (all columns stay; equal names are replaced).
 
-    ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter (or no language was learned); a text
+def predict(docs: DataFrame, model: Filter, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the predicted language and its score to ``docs`` under these names (all other columns stay).
+
+    The language is ``und`` with score 0 where the text is null or has no letter (or no language was learned); a text
     with letters but no known n-gram takes the first language. The score is the winner's share of the two best counts.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for b in batches:
-            lang, score = np.full(len(b), len(m.languages)), np.zeros(len(b))
+            best, share = np.full(len(b), len(m.languages)), np.zeros(len(b))
             text = b.column("text")
             for first, last, data, offsets in blocks(text):
                 if not m.languages:
@@ -148,14 +167,12 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
                 n = m.counts(data, offsets)
                 order = np.sort(np.append(n, np.zeros((len(n), 1)), 1), axis=1)
                 top, second = order[:, -1], order[:, -2]
-                lang[first:last] = np.where(letters > 0, n.argmax(1), len(m.languages))
-                score[first:last] = np.where(letters > 0, np.where(top > 0, top / np.maximum(top + second, 1e-12), 1 / len(m.languages)), 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[lang], pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
+                best[first:last] = np.where(letters > 0, n.argmax(1), len(m.languages))
+                share[first:last] = np.where(letters > 0, np.where(top > 0, top / np.maximum(top + second, 1e-12), 1 / len(m.languages)), 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best], pa.string()), pa.array(share)], [*b.schema.names, lang, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
