@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import doc_mod, stored
+from lodestone.llm.common import bounded, doc_mod, stored
 from lodestone.llm.textblocks import LOWER, SPACE, UPPER, WORD, blocks, mix, run_hashes, runs
 
 SAMPLE = 6_000
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     own = F.broadcast(own.where(unit < share[F.col("y")]))  # bounded by the sample
-    rows = stored(docs.select("doc_id", "text").join(own, "doc_id").select(F.col("y").cast("double").alias("y"), "text").repartition(PARTS), "sample")
+    rows = stored(bounded(docs).select("doc_id", "text").join(own, "doc_id").select(F.col("y").cast("double").alias("y"), "text").repartition(PARTS), "sample")
     parts = rows.select("text").coalesce(PARTS).mapInArrow(_context, "chunk int, v binary").groupBy("chunk").applyInArrow(_added, "chunk int, v binary")
     table = {r["chunk"]: r["v"] for r in parts.collect()}  # one context table
     if not table:
@@ -215,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(context, mean, scale, layers, temperature)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Add score and predicted to ``docs`` (all columns stay; equal names are replaced). A null text counts as ''."""
-    docs = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Add the score and whether it reaches ``threshold`` to ``docs`` under these names (all other columns stay). A null text counts as ''."""
+    docs = docs.drop(score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -226,9 +226,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             out = np.zeros(len(b))
             for first, last, data, offsets in blocks(b.column("text")):
                 out[first:last] = m.probability(pooled(data, offsets, m.context))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*b.schema.names, score, predicted])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
