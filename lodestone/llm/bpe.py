@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import bounded
+
 #: Distinct pieces whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 120_000
 #: Characters of text that are cut into pieces at once.
-CHUNK = 6_000_000
+CHUNK = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -30,15 +32,20 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+def _read(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class Bpe:
     """Encoder and decoder of a byte-level vocabulary in the tokenizers library's JSON form."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, text: str | None = None):
+        """From the file at ``path``, or from its ``text``."""
         import public_tokenizers
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(text if text is not None else _read(path))
         vocab = spec["model"]["vocab"]
         chars = byte_characters()
         back = {c: b for b, c in enumerate(chars)}
@@ -123,6 +130,10 @@ class Bpe:
     def _known(self) -> dict[str, tuple[str, int, str]]:
         return {}
 
+    def forget(self) -> None:
+        """Let go of the pieces seen so far."""
+        self._known.clear()
+
     def cut_text(self, text: str) -> list[str]:
         """Pieces of a text in order; special tokens stand alone."""
         if not self.cut_special or not any(s in text for s in self.special):
@@ -166,41 +177,62 @@ class Bpe:
         return b"".join(self.surface.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
-def _shared(path: str, kept: dict = {}) -> Bpe:  # noqa: B006  one vocabulary a worker
-    if path not in kept:
-        kept[path] = Bpe(path)
-    return kept[path]
+_BUILT: dict[str, Bpe] = {}
 
 
-def encode_rows(docs: DataFrame, path: str) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, ids (array of int) and decoded. Null counts as ''."""
+def _built(text: str) -> Bpe:
+    """The vocabulary of a text; a worker builds one once."""
+    if text not in _BUILT:
+        _BUILT.clear()
+        _BUILT[text] = Bpe("", text)
+    return _BUILT[text]
+
+
+def _by_batch(docs: DataFrame, path: str, work):
+    """A function of Arrow batches: ``work`` of the vocabulary at ``path``, which the driver reads and sends, and a batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches):
-        bpe = _shared(path)
+        bpe = _built(sent.value)
         for b in batches:
-            done = bpe.run([t or "" for t in b.column("text").to_pylist()])
-            ids = [[int(x) for x in d[1].split(",")] if d[1] else [] for d in done]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
+            yield work(bpe, b)
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, "ids array<int>, decoded string"))
+    return run
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
+def encode_rows(docs: DataFrame, path: str) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, ids (array of int) and decoded. Null counts as ''."""
 
-    A null text counts as ''. Null ids and repeated rows keep their rows; other columns are not read. The vocabulary at
-    ``path`` is read by each worker; a map without shuffle.
-    """
+    def work(bpe, b):
+        done = bpe.run([t or "" for t in b.column("text").to_pylist()])
+        ids = [[int(x) for x in d[1].split(",")] if d[1] else [] for d in done]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
+
+    more = T.StructType.fromDDL("ids array<int>, decoded string").fields
+    return bounded(docs).select("doc_id", "text").mapInArrow(_by_batch(docs, path, work), T.StructType([docs.schema["doc_id"], *more]))
+
+
+RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def run(batches):
-        bpe = _shared(path)
-        for b in batches:
-            done = bpe.run([t or "" for t in b.column("text").to_pylist()])
-            digest = [[hashlib.sha256(d[k].encode()).hexdigest() for d in done] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([d[0] for d in done], pa.int64()), *(pa.array(x, pa.string()) for x in digest)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with all columns and n_tokens, ids_sha256, decoded_sha256 of their ``text``, which take the place of equal names."""
+    docs = docs.drop(*RESULTS)
 
+    def work(bpe, b):
+        done = bpe.run([t or "" for t in b.column("text").to_pylist()])
+        hashes = [pa.array([hashlib.sha256(d[k].encode()).hexdigest() for d in done], pa.string()) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([d[0] for d in done], pa.int64()), *hashes], [*b.schema.names, *RESULTS])
 
-def _schema(docs: DataFrame, more: str) -> T.StructType:
-    return T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(more).fields])
+    more = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
+    return bounded(docs).mapInArrow(_by_batch(docs, path, work), T.StructType([*docs.schema.fields, *more]))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text counts as ''. Null ids and repeated rows keep their rows; other columns are not read. A map without
+    shuffle.
+    """
+    return digests(docs.select("doc_id", "text"), path).drop("text")
