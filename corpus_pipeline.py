@@ -11,6 +11,8 @@ from lodestone.llm.common import stored, table
 
 #: A prediction of a language other than the given one counts from this score on.
 SURE = 0.6
+#: Names that stages use inside, so that columns of documents keep theirs.
+KEPT, SCORE = "__pipeline_kept", "__pipeline_score"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +23,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     if not model.learned:
         return docs
-    return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality.score(docs, model, score=SCORE, predicted=KEPT).where(F.col(KEPT) == 1).drop(SCORE, KEPT)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language that does not surely contradict the given one; without letters they go."""
-    found = langid.predict(docs, langid.fit(docs))
-    other = F.coalesce((F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE), F.lit(False))
-    return found.where((F.col("lang_pred") != "und") & ~other).select(*docs.columns)
+    found = langid.predict(docs, langid.fit(docs), lang=KEPT, score=SCORE)
+    other = F.coalesce((F.col(KEPT) != F.col("lang")) & (F.col(SCORE) >= SURE), F.lit(False))
+    return found.where((F.col(KEPT) != "und") & ~other).drop(SCORE, KEPT)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +42,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents in which no benchmark passage occurs; each row is judged by its own text, whatever its id."""
     text = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     found = decontaminate.contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    found = stored(found.withColumnRenamed("doc_id", "_text"), "contaminated")
-    return docs.withColumn("_text", text).join(found, "_text", "left_anti").select(*docs.columns)
+    found = stored(found.withColumnRenamed("doc_id", KEPT), "contaminated")
+    return docs.withColumn(KEPT, text).join(found, KEPT, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The documents that are left, with token counts and digests of ids and of the decoded text (in place of equal names)."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("near-duplicates", keep_one_of_each), ("decontamination", keep_uncontaminated), ("encoding", encode)]
