@@ -272,7 +272,7 @@ def compress(embeddings: DataFrame, id: str = "vec_id", vector: str = "embedding
 
     Rows whose vector is null or has null or non-finite components are left out. Repeated rows are rows of their own and have
     equal codes; a null id is a result with a null id; null labels are one label. Other columns are not read. No usable row
-    gives an empty result. Components beyond 2^25 after scaling are an error, as sums would not be exact.
+    gives an empty result. Components beyond 2^24 after scaling are an error, as sums would not be exact.
     """
     rows = whole_vectors(embeddings.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x")), "x", SCALE)
     trained = train(rows, "id")

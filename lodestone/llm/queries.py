@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chroma, codes, decontaminate, langid, lattice, licenses, lines, probminhash, quality, sharding, warc
+from lodestone.llm import bpe, chroma, codes, decontaminate, langid, lattice, licenses, lines, negatives, probminhash, quality, sharding, warc
 from lodestone.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_license_scan, op3_lattice_score, op4_shard, op5_chroma, op6_language, op7_warc, op8_near_duplicates, op9_quality, op10_bpe, op12_vector_codes, op13_line_dedup)
+    for f in (op1_decontaminate, op2_license_scan, op3_lattice_score, op4_shard, op5_chroma, op6_language, op7_warc, op8_near_duplicates, op9_quality, op10_bpe, op11_hard_negatives, op12_vector_codes, op13_line_dedup)
 }
 
 ORACLE_SQL = {
@@ -72,6 +76,7 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 k AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest),
 j AS (SELECT p.*, CASE WHEN payload_bytes >= 1000 AND top IS DISTINCT FROM page_id THEN top END AS refers_to FROM p LEFT JOIN k USING (payload_digest))
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, true AS complete FROM j""",
+    "op11_hard_negatives": negatives.ORACLE,
     "op12_vector_codes": codes.oracle_sql(),
     "op13_line_dedup": lines.ORACLE,
     "op2_license_scan": licenses.oracle_sql(),

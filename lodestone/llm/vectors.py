@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Whole components up to this size keep squared distances of 64 components, and products of 4,096, exact in 64 bits.
-LARGEST = 1 << 25
+#: Whole components up to this size keep squared distances and products of up to 4,096 components exact in 64 bits.
+LARGEST = 1 << 24
 
 
 def usable(vector: Column) -> Column:
