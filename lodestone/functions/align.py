@@ -15,25 +15,57 @@ _PAIR = T.StructType([T.StructField(n, T.StringType()) for n in ("op", "ref", "h
 ALIGNMENT = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("all", "cor", "sub", "ins", "del")), T.StructField("pairs", T.ArrayType(_PAIR))])
 
 
+#: Rows of distances that are kept of a stretch, and rows of a stretch whose moves are kept.
+_KEPT, _STRETCH = 32, 64
+
+
+def _row(above: np.ndarray, i: int, token: int, b: np.ndarray) -> np.ndarray:
+    """Distances of the first ``i`` tokens from the ones of all but the last of these."""
+    place = np.arange(len(b) + 1, dtype=np.int32)
+    row = np.append(np.int32(i), np.minimum(above[1:] + 1, above[:-1] + (b != token)))
+    return np.minimum.accumulate(row - place) + place  # insertions, all at once
+
+
+def _walk(a: np.ndarray, b: np.ndarray) -> tuple[list[int], int]:
+    """Moves from the end to the start (0 deletion, 1 insertion, 2 diagonal), and the distance.
+
+    Divide and conquer over rows: a stretch keeps the distances of some rows only; its parts are gone through from the last,
+    each with no more columns than the walk has left, and split again until the moves of a part fit. Memory is some hundred
+    bytes a token of ``b``, times the logarithm of the other side, and each row is worked out a few times.
+    """
+    moves: list[int] = []
+    total, j = None, len(b)
+    todo = [(0, len(a), np.arange(len(b) + 1, dtype=np.int32))]
+    while todo:
+        low, high, row = todo.pop()
+        row = row[: j + 1]
+        step = max(_STRETCH, -(-(high - low) // _KEPT))
+        if high - low > _STRETCH:
+            for i in range(low, high):
+                if (i - low) % step == 0:
+                    todo.append((i, min(i + step, high), row))
+                row = _row(row, i + 1, a[i], b[:j])
+            total = int(row[-1]) if total is None else total
+            continue
+        how = np.zeros((high - low, j + 1), np.int8)
+        for i in range(low, high):
+            above, row = row, _row(row, i + 1, a[i], b[:j])
+            how[i - low, 1:] = np.where(above[1:] + 1 == row[1:], 0, np.where(row[:-1] + 1 == row[1:], 1, 2))
+        total = int(row[-1]) if total is None else total
+        i = high
+        while i > low:
+            move = int(how[i - low - 1, j])
+            moves.append(move)
+            i, j = i - (move != 1), j - (move != 0)
+    return moves + [1] * j, total if total is not None else len(b)
+
+
 def align(ref: list[str], hyp: list[str]) -> dict:
     """Least edits from ``ref`` to ``hyp``. Ties: a deletion first, then an insertion, a diagonal only if it is less."""
-    n, m = len(ref), len(hyp)
-    dist = np.zeros((n + 1, m + 1), np.int32)
-    move = np.zeros((n + 1, m + 1), np.int8)  # 0 deletion, 1 insertion, 2 diagonal
-    dist[:, 0], dist[0, :] = np.arange(n + 1), np.arange(m + 1)
-    move[0, 1:] = 1
     ids: dict[str, int] = {}
     a, b = (np.array([ids.setdefault(w, len(ids)) for w in side], np.int64) for side in (ref, hyp))
-    place = np.arange(m + 1)
-    for i in range(1, n + 1):
-        above = dist[i - 1]
-        row = np.append(i, np.minimum(above[1:] + 1, above[:-1] + (b != a[i - 1])))
-        row = np.minimum.accumulate(row - place) + place  # insertions, all at once
-        dist[i] = row
-        move[i, 1:] = np.where(above[1:] + 1 == row[1:], 0, np.where(row[:-1] + 1 == row[1:], 1, 2))
-    pairs, i, j = [], n, m
-    while i or j:
-        how = move[i, j]
+    pairs, i, j = [], len(ref), len(hyp)
+    for how in _walk(a, b)[0]:
         if how == 0:
             i -= 1
             pairs.append(("del", ref[i], ""))
@@ -45,7 +77,7 @@ def align(ref: list[str], hyp: list[str]) -> dict:
             pairs.append(("cor" if ref[i] == hyp[j] else "sub", ref[i], hyp[j]))
     pairs.reverse()
     count = {k: sum(p[0] == k for p in pairs) for k in ("cor", "sub", "ins", "del")}
-    return {"all": n, **count, "pairs": [dict(zip(("op", "ref", "hyp"), p, strict=True)) for p in pairs]}
+    return {"all": len(ref), **count, "pairs": [dict(zip(("op", "ref", "hyp"), p, strict=True)) for p in pairs]}
 
 
 @F.pandas_udf(ALIGNMENT)

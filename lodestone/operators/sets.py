@@ -2,36 +2,60 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def _whole(kind: T.DataType) -> bool:
-    return isinstance(kind, T.IntegralType | T.BooleanType) or isinstance(kind, T.DecimalType) and not kind.scale
+def _canonical(value: Column, kind: T.DataType) -> Column:
+    """A text that equal values share: whole numbers as such whatever their type, texts apart from numbers, null by itself."""
+    if isinstance(kind, T.NullType):
+        return F.lit("null")
+    if isinstance(kind, T.BooleanType | T.IntegralType):
+        text = F.concat(F.lit("n"), value.cast("int").cast("string") if isinstance(kind, T.BooleanType) else value.cast("string"))
+    elif isinstance(kind, T.DecimalType):
+        text = F.concat(F.lit("n"), F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    elif isinstance(kind, T.FractionalType):
+        # whole doubles of 64 bits are written out in full; larger ones are equal to doubles only
+        x = value.cast("double")
+        whole = (x == F.floor(x)) & (F.abs(x) < 9.2e18)
+        text = F.concat(F.lit("n"), F.when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(x.cast("string")))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: F.to_json(F.struct(_canonical(x, kind.elementType).alias("v")))), ","))
+    elif isinstance(kind, T.StringType | T.BinaryType):
+        text = F.concat(F.lit("s" if isinstance(kind, T.StringType) else "b"), value.cast("string") if isinstance(kind, T.StringType) else F.hex(value))
+    else:
+        text = F.concat(F.lit(kind.typeName()[0].upper() + kind.typeName()[1:] + " "), value.cast("string") if isinstance(kind, T.DatetimeType) else F.to_json(F.struct(value.alias("v"))))
+    return F.coalesce(text, F.lit("null"))
+
+
+def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, row): a digest of each distinct row by position, columns of ``by`` left out; equal rows have equal digests anywhere."""
+    by = by or []
+    plain = df.select(*by, *(c for c in df.columns if c not in by)).toDF(*by, *(f"c{i}" for i in range(len(df.columns) - len(by))))
+    values = F.to_json(F.struct(*(_canonical(F.col(f.name), f.dataType).alias(f.name) for f in plain.schema.fields[len(by) :]), F.lit(1).alias("end")))
+    return plain.select(*by, F.unhex(F.sha2(values.cast("binary"), 256)).alias("row")).distinct()
+
+
+def _sides(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct digests of both sides' rows with the sum of the sides that have them: 3 if both do."""
+    both = row_digests(a, by).withColumn("side", F.lit(1)).unionByName(row_digests(b, by).withColumn("side", F.lit(2)))
+    return both.groupBy(*by, "row").agg(F.sum("side").alias("sides"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as sets of rows by position: order, repeats and names don't count, null equals null, 1 equals 1.0.
+    """Equal as sets of rows by position: order, repeats and names don't count, null equals null, 1 equals 1.0 and true.
 
-    Whole numbers are compared exactly, other numbers as doubles, and all else as text.
+    Numbers are compared by their exact values, so 2^53 + 1 is not the double 2^53; a text is never equal to a number.
+    Each side runs once: the digests of its rows are counted by the side they come from.
     """
-    if len(a.columns) != len(b.columns):
-        return False
-    kinds = []
-    for x, y in zip(a.schema.fields, b.schema.fields, strict=True):
-        numbers = all(isinstance(f.dataType, T.NumericType | T.BooleanType) for f in (x, y))
-        kinds.append("decimal(38,0)" if numbers and _whole(x.dataType) and _whole(y.dataType) else "double" if numbers else "string")
+    return len(a.columns) == len(b.columns) and _sides(a, b, []).where("sides <> 3").isEmpty()
 
-    def plain(df):
-        to = lambda f, kind: F.col(f"`{f.name}`").cast("int").cast(kind) if isinstance(f.dataType, T.BooleanType) and kind != "string" else F.col(f"`{f.name}`").cast(kind)
-        return df.toDF(*(f"c{i}" for i in range(len(kinds)))).select(*(to(T.StructField(f"c{i}", f.dataType), k).alias(f"c{i}") for i, (f, k) in enumerate(zip(df.schema.fields, kinds, strict=True))))
 
-    x, y = plain(a), plain(b)
-    return x.subtract(y).isEmpty() and y.subtract(x).isEmpty()
+def same_rows_by(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, equal): ``same_rows`` of the rows of each key at once, the key's columns left out; a null key is a key."""
+    return _sides(a, b, by).groupBy(*by).agg((F.bool_and(F.col("sides") == 3) & F.lit(len(a.columns) == len(b.columns))).alias("equal"))
 
 
 def first_by_signature(rows: DataFrame, signature: Column, order: str) -> DataFrame:
@@ -46,35 +70,16 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest, order), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in [*rest, order]))
 
 
-def leaders(rows: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
-    """Greedy leader clustering within groups, in key order: (group, key, leader).
+def exact_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, key, copies): each text that several rows have, the least of their keys (null if none has one), and their number.
 
-    A row joins the first earlier leader whose cosine is at least ``threshold``, else it leads; rows without a vector
-    lead themselves. Order matters and the relation is not transitive, so a group is scanned in sequence: groups must
-    fit one task; key them finely.
+    Rows are grouped by digest and length. A group's text is taken from any one of its rows, as a join of the digests brings
+    back the texts of those that are repeated only; null is a text of its own, an empty table gives an empty result.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        own, vectors, out = [], np.zeros((0, 0)), []
-        for k, v in zip(pdf["key"], pdf["v"], strict=True):
-            v = None if v is None else np.asarray(v, float)
-            size = 0.0 if v is None else float(np.linalg.norm(v))
-            if not size:
-                out.append(k)
-                continue
-            unit = v / size
-            sims = vectors @ unit if len(own) and vectors.shape[1] == len(unit) else np.zeros(0)
-            hit = np.nonzero(sims >= threshold)[0]
-            if len(hit):
-                out.append(own[hit[0]])
-            else:
-                own.append(k)
-                vectors = unit[None] if not len(vectors) else np.vstack([vectors, unit])
-                out.append(k)
-        return pd.DataFrame({"group": pdf["group"], "key": pdf["key"], "leader": out})
-
-    named = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(vector).alias("v"))
-    kind, gkind = named.schema["key"].dataType.simpleString(), named.schema["group"].dataType.simpleString()
-    found = named.groupBy("group").applyInPandas(scan, f"group {gkind}, key {kind}, leader {kind}")
-    return found.select(F.col("group").alias(group), F.col("key").alias(key), "leader")
+    mark = F.struct(F.md5(F.col(text).cast("binary")).alias("digest"), F.octet_length(text).alias("size"))
+    of = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"))
+    several = of.groupBy("mark").agg(F.min("key").alias("key"), F.count("*").alias("copies")).where("copies > 1")
+    # the row of the least key brings the text; equal keys and null ones may be several rows, of which one is kept
+    found = several.join(of.withColumnRenamed("key", "own"), "mark").where(F.col("own").eqNullSafe(F.col("key")))
+    found = found.groupBy("mark").agg(F.any_value("text").alias("text"), F.any_value("key").alias("key"), F.any_value("copies").alias("copies"))
+    return found.select(F.col("text").alias(text), F.col("key").alias(key), "copies")

@@ -9,7 +9,7 @@ from lodestone.functions import align, jsons
 from lodestone.functions import rewards as rw
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import graph, groups, metrics, sampling, sets
+from lodestone.operators import graph, groups, leaders, metrics, sampling, sets
 from lodestone.plans.registry import query
 
 
@@ -288,6 +288,17 @@ def result_set_equal(t):
     return t.spark.createDataFrame([(sets.same_rows(a, b.union(b)), sets.same_rows(a, c))], "equal boolean, other boolean")
 
 
+@query("SELECT l_orderkey, l_orderkey % 3 <> 0 AND min(l_quantity) > 2 AS equal FROM lineitem GROUP BY l_orderkey")
+def results_equal_by_order(t):
+    """Each order's lines as two results: numbers of other types are equal, numbers as text or fewer lines are not."""
+    a = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("double").alias("n"), "l_quantity", (F.col("l_linenumber") > 2).alias("late"))
+    lines = t.lineitem.where(F.col("l_quantity") > 2).select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(12,2)").alias("q"), (F.col("l_linenumber") > 2).cast("int").alias("late"))
+    b = lines.where("l_orderkey % 3 <> 0").unionByName(lines.where("l_orderkey % 3 <> 0"))
+    as_text = lines.where("l_orderkey % 3 = 0").withColumn("q", F.col("q").cast("string"))
+    equal = sets.same_rows_by(a.where("l_orderkey % 3 <> 0"), b, ["l_orderkey"])
+    return equal.unionByName(sets.same_rows_by(a.where("l_orderkey % 3 = 0"), as_text, ["l_orderkey"]))
+
+
 @query("SELECT min(l_orderkey) AS l_orderkey, sig FROM (SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linenumber, ',' ORDER BY l_returnflag || l_linenumber) AS sig FROM lineitem GROUP BY l_orderkey) GROUP BY sig")
 def signature_distinct(t):
     sigs = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", F.col("l_linenumber").cast("string")))), ",").alias("sig"))
@@ -307,14 +318,12 @@ def prompt_intersection(t):
 @query("SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_duplicates(t):
     """Grouped by digest and length; only the texts that are repeated are fetched."""
-    key = [F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("size")]
-    several = t.documents.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    return t.documents.select("doc_id", "text").join(several.select("doc_id", "copies"), "doc_id").select("text", "doc_id", "copies")
+    return sets.exact_duplicates(t.documents, "doc_id", "text").select("text", "doc_id", "copies")
 
 
 @query()
 def leader_dedup(t):
-    return sets.leaders(t.embeddings, "label", "vec_id", "embedding", 0.35)
+    return leaders.leaders(t.embeddings, "label", "vec_id", "embedding", 0.35)
 
 
 # -- similarity and graphs -----------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.operators import batching, chat, evaluation, graph, groups, metrics, recognition, sampling, sets
+from lodestone.operators import batching, chat, evaluation, graph, groups, leaders, metrics, recognition, sampling, sets
 from lodestone.sources import files
 from lodestone.streaming import events
 
@@ -114,7 +114,7 @@ def test_evaluation_runs_each_pair_once(spark):
 def test_leaders_depend_on_order(spark):
     rows = [("g", 1, [1.0, 0.0]), ("g", 2, [0.8, 0.6]), ("g", 3, [0.28, 0.96]), ("g", 4, None), ("h", 5, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "g string, k int, v array<double>")
-    assert {r.k: r.leader for r in sets.leaders(df, "g", "k", "v", 0.75).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.k: r.leader for r in leaders.leaders(df, "g", "k", "v", 0.75).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def test_components(spark):
