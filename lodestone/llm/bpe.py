@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from functools import cached_property
 
@@ -19,10 +20,12 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import bounded
 
-#: Distinct pieces whose ids a worker keeps.
-CACHE = 120_000
-#: Characters of text that are cut into pieces at once.
-CHUNK = 1_000_000
+#: Bytes that the pieces a worker keeps may take, in two halves: the younger one, and what was used before it was begun.
+CACHE_BYTES = 96 << 20
+#: Characters of text that are cut into pieces at once; pieces not known yet are encoded together.
+CHUNK = 4_000_000
+#: Bytes that a piece takes besides its characters: its tuple, its strings' heads, its place in a dictionary.
+_PIECE = 350
 
 
 def byte_characters() -> list[str]:
@@ -60,6 +63,7 @@ class Bpe:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of = keys[order], order
+        self._bytes = 0
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -69,7 +73,7 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each piece."""
         raw = [p.encode() for p in pieces]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -122,17 +126,37 @@ class Bpe:
             before = prev[at]
             push(np.unique(np.concatenate([before[before >= 0], at[inner]])))
         alive = sym >= 0
-        upto = np.append(0, np.cumsum(alive))
-        ids = sym[alive]
-        return np.split(ids, upto[end[:-1]]) if len(raw) else []
+        upto = np.append(0, np.cumsum(alive))[np.append(0, end)].tolist()
+        ids = sym[alive].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(upto)]
 
     @cached_property
     def _known(self) -> dict[str, tuple[str, int, str]]:
+        """Pieces of the younger half: ids as text, how many, and the text decoded from them."""
         return {}
 
-    def forget(self) -> None:
-        """Let go of the pieces seen so far."""
-        self._known.clear()
+    @cached_property
+    def _older(self) -> dict[str, tuple[str, int, str]]:
+        return {}
+
+    @cached_property
+    def _decimal(self) -> dict[int, str]:
+        return {i: str(i) for i in self.surface}
+
+    def _remember(self, pieces: set[str]) -> None:
+        """Make all pieces known. Where they fill half of the bytes, older ones that were not used since are let go."""
+        if self._bytes > CACHE_BYTES // 2:
+            self._older.clear()
+            self._older.update(self._known)
+            self._known.clear()
+            self._bytes = 0
+        if not self._known:
+            self._known.update({s: (str(i), 1, s) for s, i in self.special.items()})
+        missing = [p for p in pieces if p not in self._known]
+        again = {p: self._older[p] for p in missing if p in self._older}
+        self._known.update(again)
+        self._learn([p for p in missing if p not in again])
+        self._bytes += sum(map(len, missing)) * 8 + len(missing) * _PIECE
 
     def cut_text(self, text: str) -> list[str]:
         """Pieces of a text in order; special tokens stand alone."""
@@ -149,12 +173,7 @@ class Bpe:
             while last < len(texts) and (last == first or size + len(texts[last]) <= CHUNK):
                 size, last = size + len(texts[last]), last + 1
             cut = [self.cut_text(t) for t in texts[first:last]]
-            distinct = set().union(*cut)
-            if len(self._known) + len(distinct) > CACHE:
-                self._known.clear()
-            new = [p for p in distinct if p not in self._known and p not in self.special]
-            self._known.update({s: (str(i), 1, s) for s, i in self.special.items()})
-            self._learn(new)
+            self._remember(set().union(*cut))
             known = self._known
             for pieces in cut:
                 got = [known[p] for p in pieces]
@@ -163,10 +182,10 @@ class Bpe:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        known, surface = self._known, self.surface
+        known, surface, decimal = self._known, self.surface.__getitem__, self._decimal.__getitem__
         for p, ids in zip(pieces, self.encode_pieces(pieces), strict=True):
-            ids = ids.tolist()
-            known[p] = (",".join(map(str, ids)), len(ids), b"".join([surface[i] for i in ids]).decode("utf-8", "replace"))
+            back = b"".join(map(surface, ids)).decode("utf-8", "replace")
+            known[p] = (",".join(map(decimal, ids)), len(ids), p if back == p else back)
 
     def encode(self, text: str) -> list[int]:
         ids = self.run([text])[0][1]
@@ -196,7 +215,7 @@ def _by_batch(docs: DataFrame, path: str, work):
         bpe = _built(sent.value)
         for b in batches:
             yield work(bpe, b)
-        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     return run
 
