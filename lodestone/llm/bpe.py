@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded
+from lodestone.llm.common import bounded, freed
 
 #: Bytes that the pieces a worker keeps may take, in two halves: the younger one, and what was used before it was begun.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: Characters of text that are cut into pieces at once; pieces not known yet are encoded together.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Bytes that a piece takes besides its characters: its tuple, its strings' heads, its place in a dictionary.
 _PIECE = 350
 
@@ -215,7 +215,6 @@ def _by_batch(docs: DataFrame, path: str, work):
         bpe = _built(sent.value)
         for b in batches:
             yield work(bpe, b)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -229,7 +228,7 @@ def encode_rows(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
 
     more = T.StructType.fromDDL("ids array<int>, decoded string").fields
-    return bounded(docs).select("doc_id", "text").mapInArrow(_by_batch(docs, path, work), T.StructType([docs.schema["doc_id"], *more]))
+    return bounded(docs).select("doc_id", "text").mapInArrow(freed(_by_batch(docs, path, work)), T.StructType([docs.schema["doc_id"], *more]))
 
 
 RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -245,7 +244,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*b.columns, pa.array([d[0] for d in done], pa.int64()), *hashes], [*b.schema.names, *RESULTS])
 
     more = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
-    return bounded(docs).mapInArrow(_by_batch(docs, path, work), T.StructType([*docs.schema.fields, *more]))
+    return bounded(docs).mapInArrow(freed(_by_batch(docs, path, work)), T.StructType([*docs.schema.fields, *more]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, discard, spread_join, stored
+from lodestone.llm.common import bounded, discard, freed, spread_join, stored
 from lodestone.llm.vectors import whole_vectors
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
@@ -220,7 +220,7 @@ def train(vectors: DataFrame, id: str, parts: int = PARTS, entries: int = ENTRIE
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     worked, state = [], None
     for turn in range(rounds + 1):
-        done = stored(rows.mapInArrow(_step(books, carried, turn == 0), f"{kinds}, {_KINDS}"), f"codes-{turn}")
+        done = stored(rows.mapInArrow(freed(_step(books, carried, turn == 0)), f"{kinds}, {_KINDS}"), f"codes-{turn}")
         if state is not None:
             discard(state)
         state, rows = done, done.where("sums is null").drop("sums")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,21 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def freed(work: Callable) -> Callable:
+    """A function of Arrow batches like ``work`` that gives unused memory back to the system at the end of a task.
+
+    Workers outlive their tasks, and what one stage needed would else stay with them through all later ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded, doc_mod, stored
+from lodestone.llm.common import bounded, doc_mod, freed, stored
 from lodestone.llm.textblocks import LETTER, LOWER, blocks, mix
 
 SAMPLE, SAMPLE_BYTES = 4_000, 64 << 20
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
                         g, n = np.unique(h[own == i], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    each = stored(bounded(train).mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    each = stored(bounded(train).mapInArrow(freed(count), "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*(F.lit(x) for k, v in totals.items() for x in (k, float(v))))[F.col("lang")]
     best = each.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("of"))
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Filter, lang: str = "lang_pred", score: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best], pa.string()), pa.array(share)], [*b.schema.names, lang, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return bounded(docs).mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(freed(run), schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

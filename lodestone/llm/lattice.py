@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded, doc_mod, stored
+from lodestone.llm.common import bounded, doc_mod, freed, stored
 from lodestone.llm.textblocks import LOWER, SPACE, blocks, runs
 
 HOT = 100_000
@@ -210,7 +210,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (doc_mod(F.col("doc_id"), 10) != 0).cast("long").alias("train"), F.xxhash64("text").alias("h"))
-    counts = rows.select("text", "train").mapInArrow(_counted, "word string, f long, c long")
+    counts = rows.select("text", "train").mapInArrow(freed(_counted), "word string, f long, c long")
     counts = stored(counts.groupBy("word").agg(F.sum("f").alias("f"), F.sum("c").alias("c")), "words")
 
     ends = rows.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n")).first()["n"]
@@ -233,7 +233,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
                 both = np.logaddexp(sub * math.log(10) + math.log(mass), np.log(own)) / math.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both), pa.array(sub)], [*b.schema.names, "lp", "sub"])
 
-    scored = stored(counts.select("word", "f", "c").mapInArrow(score, "word string, f long, c long, lp double, sub double"), "scored")
+    scored = stored(counts.select("word", "f", "c").mapInArrow(freed(score), "word string, f long, c long, lp double, sub double"), "scored")
     lowest = math.log10(n + 0.1 * (v + 1))
     scored = scored.select("word", "f", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 0.1) - lowest).alias("base"), "lp", "sub")
     # The most frequent words by a histogram of logarithms, so no task sees the candidates of all others.
@@ -249,7 +249,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
     shared = spark.sparkContext.broadcast((top_words, [top.column(c).to_numpy().astype(float) for c in ("known", "base", "lp", "sub")]))
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, copies long, key long, word string, m long, n_tokens long, n_known long, base double, lp double, sub double").fields])
-    parts = rows.select("doc_id", "h", "text").mapInArrow(_summed(shared), schema).withColumn("key", F.coalesce("key", F.xxhash64("word")))
+    parts = rows.select("doc_id", "h", "text").mapInArrow(freed(_summed(shared)), schema).withColumn("key", F.coalesce("key", F.xxhash64("word")))
     # A text's own row has no word and no partner; its key only spreads it.
     rest = scored.select(F.xxhash64("word").alias("key"), "word", *(F.col(c).alias(f"w_{c}") for c in ("known", "base", "lp", "sub")))
     parts = parts.join(rest, ["key", "word"], "left")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded, discard, small, spread_join, stored
+from lodestone.llm.common import bounded, discard, freed, small, spread_join, stored
 from lodestone.llm.textblocks import blocks, mix, shingles, weighted, word_hashes
 
 WORDS = 5
@@ -250,7 +250,7 @@ def links(pairs: DataFrame, sets: DataFrame, m: int, threshold: float = SIMILARI
     heads = sets.withColumnRenamed("node", "b").join(hot, "b", "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)))
     heads = heads.select("b", "place", *(F.col(c).alias(f"{c}2") for c in ("sig", "items", "counts")))
     beside = dealt.join(sets.withColumnRenamed("node", "a"), "a").join(heads, ["b", "place"])
-    return stored(beside.mapInArrow(_compare(threshold, m), "a binary, b binary"), "links")
+    return stored(beside.mapInArrow(freed(_compare(threshold, m)), "a binary, b binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: fl
 def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     rows_in = bounded(docs).select("doc_id", "text", _node().alias("node"))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, bands array<long>").fields])
-    signed = stored(rows_in.mapInArrow(_bands(bands, rows), schema), "signed")
+    signed = stored(rows_in.mapInArrow(freed(_bands(bands, rows)), schema), "signed")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
     buckets = nodes.select("node", "bands", F.posexplode("bands").alias("at", "hash")).where((F.col("at") < bands) | (F.col("hash") != F.get("bands", F.col("at") - bands)))
     buckets = buckets.select("node", (F.col("at") % bands).alias("band"), "hash")
@@ -303,7 +303,7 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float) -> DataFr
     # The text of a node is that of its row with the least doc_id.
     wanted = stored(met.join(nodes.select("node", "least"), "node").select("node", "least"), "wanted")
     mine = rows_in.alias("d").join(small(wanted).alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("d.node", "d.text")
-    sets = stored(mine.dropDuplicates(["node"]).mapInArrow(_sets(bands * rows), "node binary, sig binary, items array<long>, counts array<int>"), "sets")
+    sets = stored(mine.dropDuplicates(["node"]).mapInArrow(freed(_sets(bands * rows)), "node binary, sig binary, items array<long>, counts array<int>"), "sets")
 
     found = links(first, sets, bands * rows, threshold)
     part = components(found)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bounded, doc_mod, stored
+from lodestone.llm.common import bounded, doc_mod, freed, stored
 from lodestone.llm.textblocks import LOWER, SPACE, UPPER, WORD, blocks, mix, run_hashes, runs
 
 SAMPLE = 6_000
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     own = F.broadcast(own.where(unit < share[F.col("y")]))  # bounded by the sample
     rows = stored(bounded(docs).select("doc_id", "text").join(own, "doc_id").select(F.col("y").cast("double").alias("y"), "text").repartition(PARTS), "sample")
-    parts = rows.select("text").coalesce(PARTS).mapInArrow(_context, "chunk int, v binary").groupBy("chunk").applyInArrow(_added, "chunk int, v binary")
+    parts = rows.select("text").coalesce(PARTS).mapInArrow(freed(_context), "chunk int, v binary").groupBy("chunk").applyInArrow(_added, "chunk int, v binary")
     table = {r["chunk"]: r["v"] for r in parts.collect()}  # one context table
     if not table:
         return blank
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     del table
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     shared = spark.sparkContext.broadcast(context)
-    got = rows.mapInArrow(_features(shared), "y double, x binary").toArrow()  # bounded by the sample
+    got = rows.mapInArrow(freed(_features(shared)), "y double, x binary").toArrow()  # bounded by the sample
     x, y = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + 3).astype(float), got.column("y").to_numpy()
     del got
     if not len(x):
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score: st
                 out[first:last] = m.probability(pooled(data, offsets, m.context))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*b.schema.names, score, predicted])
 
-    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
+    return bounded(docs).mapInArrow(freed(run), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
