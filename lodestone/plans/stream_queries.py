@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import jsons
 from lodestone.plans.registry import query
-from lodestone.sources import files
+from lodestone.sources import arrays, files
 from lodestone.streaming import events as ev
 
 
@@ -58,9 +58,9 @@ def roundtrip_jsonl(t):
 
 @query("SELECT r_regionkey, r_name FROM region")
 def roundtrip_json_array(t):
-    path = _trip(t, "x") + ".json"
-    files.write_json_array(t.region.select("r_regionkey", "r_name"), path)
-    return files.load(t.spark, path, "r_regionkey int, r_name string", kind="json")
+    path = _trip(t, "x")
+    arrays.write_json_arrays(t.region.select("r_regionkey", "r_name"), path)
+    return arrays.read_json_arrays(t.spark, path, "r_regionkey int, r_name string")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")

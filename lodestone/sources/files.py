@@ -269,12 +269,6 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None, mode: str = "ov
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one text file, for small results."""
-    row = F.to_json(F.struct(*df.columns))
-    df.select(row.alias("r")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
-
-
 def write_transcripts(df: DataFrame, path: str) -> None:
     """Two lines an utterance: ``id:<tab>ref=...`` and ``id:<tab>hyp=...``."""
     lines = F.array(*(F.concat("id", F.lit(f":\t{k}="), k) for k in ("ref", "hyp")))

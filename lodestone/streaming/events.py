@@ -43,6 +43,18 @@ def collect_stream(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def collect_changes(df: DataFrame) -> DataFrame:
+    """Run a stream in update mode over all that is there; the rows of every batch, a batch that runs again once."""
+    spark = df.sparkSession
+    out, state = scratch(spark, "changes"), scratch(spark, "changes-state")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+
+
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
     """A stream with its watermark, which needs time stamps with a zone; a batch as it is."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
