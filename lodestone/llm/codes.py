@@ -207,15 +207,18 @@ def train(vectors: DataFrame, id: str, parts: int = PARTS, entries: int = ENTRIE
     Each round is one pass: it reads vectors and bounds, and writes new bounds and, in one row a task, sums by entry, which
     Spark adds up; the driver gets one sum for each number of the codebooks. The previous round's table is deleted.
     """
-    seed = [r["x"] for r in vectors.orderBy(F.col(id).asc_nulls_last(), "x").select("x").limit(entries).collect()]
-    if not seed:
+    order = (F.col(id).asc_nulls_last(), "x")
+    first = vectors.orderBy(*order).select("x").first()
+    if first is None:
         return None
-    width, rest = divmod(len(seed[0]), parts)
+    width, rest = divmod(len(first["x"]), parts)
     if rest:
-        raise ValueError(f"vectors of {len(seed[0])} components can't be cut into {parts} equal parts")
-    start = np.array([x for x in seed if len(x) == len(seed[0])], np.int64).reshape(-1, parts, width)
+        raise ValueError(f"vectors of {len(first['x'])} components can't be cut into {parts} equal parts")
+    vectors = vectors.where(F.size("x") == width * parts)
+    seed = [r["x"] for r in vectors.orderBy(*order).select("x").limit(entries).collect()]
+    start = np.array(seed, np.int64).reshape(len(seed), parts, width)
     books = [Codebook(start[:, p], grouped(start[:, p]), np.zeros(len(start), np.int64)) for p in range(parts)]
-    rows = bounded(vectors.where(F.size("x") == len(seed[0])))
+    rows = bounded(vectors)
     carried = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     worked, state = [], None
