@@ -187,7 +187,7 @@ PUNCTUATION = "!,.;:?、！，。；：？《》 "
 
 
 def remove_punctuation(c: Column) -> Column:
-    return strip(F.regexp_replace(c, "[" + PUNCTUATION + "]+", ""))
+    return strip(F.translate(c, PUNCTUATION, ""))
 
 
 def strip_tags(c: Column) -> Column:

@@ -2,44 +2,111 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.ordering import row_numbers, tile
+from lodestone.operators.ordering import kept, row_numbers, tile
 
 
-def duration_batches(rows: DataFrame, key: str, duration: str, buckets: int, limit: float, segment: int = 10_000) -> DataFrame:
+def _next_break(durations: np.ndarray, start: int, total: float, limit: float) -> tuple[int, float]:
+    """Where a batch with ``total`` so far (none: nan) ends that takes rows from ``start``, and what it has by then.
+
+    Totals are added up row by row, so they round as in one scan.
+    """
+    step = 256
+    first = np.isnan(total)
+    while start < len(durations):
+        some = durations[start : start + step]
+        sums = np.cumsum(some if first else np.append(total, some))[0 if first else 1 :]
+        over = sums > limit
+        if first:
+            over[0] = False  # a row above the limit is a batch of its own
+        if over.any():
+            k = int(over.argmax())
+            return start + k, float(sums[k - 1]) if k else total
+        start, total, first, step = start + len(some), float(sums[-1]), False, step * 2
+    return len(durations), total
+
+
+def _ends(t: pa.Table, duration: str, limit: float) -> pa.Table:
+    """How a segment hands on what it is handed: its head, and the batch open at its end for each row where one may begin.
+
+    A batch begins at the first row, or at the first one that makes the batch from before too large: within the head, which
+    is the rows up to a sum above the limit.
+    """
+    t = t.sort_by("number")
+    d = np.nan_to_num(t[duration].to_numpy(zero_copy_only=False).astype(float))
+    head = min(len(d), int(np.searchsorted(np.cumsum(np.maximum(d, 0)), limit, "right")) + 1)
+    known: dict[int, tuple[int, float]] = {}
+    for start in range(head):
+        path, at = [], start
+        while at not in known:
+            end, total = _next_break(d, at, float("nan"), limit)
+            path.append(at)
+            if end >= len(d):
+                known[at] = (at, total)
+                break
+            at = end
+        for p in path:
+            known[p] = known[at]
+    ends = [known[p] for p in range(head)]
+    numbers = t["number"].to_numpy()
+    row = {"tile": t["tile"][0].as_py(), "segment": t["segment"][0].as_py(), "whole": head == len(d), "head": d[:head].tolist(), "numbers": numbers[:head].tolist(), "last": [int(numbers[a]) for a, _ in ends], "total": [b for _, b in ends]}
+    return pa.Table.from_pylist([row], schema=_ENDS)
+
+
+_ENDS = pa.schema([("tile", pa.int64()), ("segment", pa.int64()), ("whole", pa.bool_()), ("head", pa.list_(pa.float64())), ("numbers", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("total", pa.list_(pa.float64()))])
+
+
+def _carry(t: pa.Table, limit: float) -> pa.Table:
+    """The batch that is open when each segment of a tile begins: its first row's number and its total."""
+    out, open_, total = [], None, float("nan")
+    for s in t.sort_by("segment").to_pylist():
+        out.append({"tile": s["tile"], "segment": s["segment"], "open": open_, "so_far": None if open_ is None else total})
+        head = np.array(s["head"])
+        k, so_far = _next_break(head, 0, total, limit) if open_ is not None else (0, total)
+        if k < len(head):
+            open_, total = s["last"][k], s["total"][k]
+        else:  # the whole segment goes into the open batch
+            total = so_far
+    return pa.Table.from_pylist(out, schema=pa.schema([("tile", pa.int64()), ("segment", pa.int64()), ("open", pa.int64()), ("so_far", pa.float64())]))
+
+
+def duration_batches(rows: DataFrame, key: str, duration: str, buckets: int, limit: float, segment: int = 100_000) -> DataFrame:
     """(key, duration, tile, batch): rows by duration in ``buckets`` tiles, each cut into batches of at most ``limit``.
 
-    A batch takes rows in order until the next would go beyond the limit; a row above the limit is a batch of its own.
-    Batches don't run over the ends of ``segment`` rows, so a tile of any size is cut by many tasks.
+    A batch takes rows in order until the next would go beyond the limit; a row above the limit is a batch of its own. A
+    batch's name is the number of its first row. Null durations count as 0 and come first; negative ones are an error.
+
+    A tile is cut by many tasks, each with ``segment`` rows at most: they first find, for each row of a segment's head where a
+    batch may begin, which batch is open at its end; one pass over these heads (a batch's rows of each segment) tells what
+    each segment begins with; then all segments are cut. So the result does not depend on the segments.
     """
-    numbered = row_numbers(rows.select(key, duration), [duration, key], "number")
-    tiled = numbered.withColumn("tile", tile(F.col("number"), rows.count(), buckets)).withColumn("segment", F.floor((F.col("number") - 1) / segment))
+    positive = F.when(F.col(duration) < 0, F.raise_error("a duration is negative").cast(rows.schema[duration].dataType)).otherwise(F.col(duration))
+    numbered = row_numbers(rows.select(key, positive.alias(duration)), [duration, key], "number")
+    tiled = numbered.withColumn("tile", tile(F.col("number"), numbered.count(), buckets).cast("long")).withColumn("segment", F.floor((F.col("number") - 1) / segment))
+    of = tiled.groupBy("tile", "segment")
+    heads = of.applyInArrow(lambda t: _ends(t, duration, limit), "tile long, segment long, whole boolean, head array<double>, numbers array<long>, last array<long>, total array<double>")
+    begun = kept(heads.groupBy("tile").applyInArrow(lambda t: _carry(t, limit), "tile long, segment long, open long, so_far double"))
 
     def cut(t: pa.Table) -> pa.Table:
         t = t.sort_by("number")
-        batch, total, out = 0, 0.0, []
-        for d in t.column(duration).to_pylist():
-            if out and total + (d or 0) > limit:
-                batch, total = batch + 1, 0.0
-            total += d or 0
-            out.append(batch)
-        return t.select([key, duration, "tile", "number"]).append_column("place", pa.array(out, pa.int64()))
-
-    schema = T.StructType([tiled.schema[key], tiled.schema[duration], tiled.schema["tile"], tiled.schema["number"], T.StructField("place", T.LongType())])
-    done = tiled.groupBy("tile", "segment").applyInArrow(cut, schema)
-    # The batch's name: its first row's number.
-    first = F.min("number").over(_batches(segment))
-    return done.select(key, duration, "tile", first.alias("batch"))
-
-
-def _batches(segment: int):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("tile", F.floor((F.col("number") - 1) / segment), "place")
+        d = np.nan_to_num(t[duration].to_numpy(zero_copy_only=False).astype(float))
+        numbers = t["number"].to_numpy()
+        batch = np.zeros(len(d), np.int64)
+        at, name, total = 0, t["open"][0].as_py(), t["so_far"][0].as_py()
+        while at < len(d):
+            fresh = name is None
+            end, _ = _next_break(d, at, float("nan") if fresh else total, limit)
+            batch[at:end] = numbers[at] if fresh else name
+            at, name = end, None
+        return t.select([key, duration, "tile"]).append_column("batch", pa.array(batch))
+
+    schema = T.StructType([tiled.schema[key], tiled.schema[duration], T.StructField("tile", T.LongType()), T.StructField("batch", T.LongType())])
+    return tiled.join(begun, ["tile", "segment"]).groupBy("tile", "segment").applyInArrow(cut, schema)
 
 
 def until_valid(groups: DataFrame, key: str, order: str, valid: str, wanted: int) -> DataFrame:

@@ -66,7 +66,7 @@ r AS (SELECT doc_id, n_chars, tile, number, number AS batch, n_chars AS total FR
   SELECT o.doc_id, o.n_chars, o.tile, o.number, CASE WHEN o.tile = r.tile AND r.total + o.n_chars <= 50000 THEN r.batch ELSE o.number END, CASE WHEN o.tile = r.tile AND r.total + o.n_chars <= 50000 THEN r.total + o.n_chars ELSE o.n_chars END FROM r JOIN o ON o.number = r.number + 1)
 SELECT doc_id, n_chars, tile, batch FROM r""")
 def duration_buckets(t):
-    return batching.duration_batches(t.documents, "doc_id", "n_chars", 30, 50000, segment=1 << 20)
+    return batching.duration_batches(t.documents, "doc_id", "n_chars", 30, 50000, segment=100)
 
 
 @query("WITH g AS (SELECT user_id, max(event_id) AS done, max(value) > 2 * avg(value) AS valid FROM events GROUP BY user_id), n AS (SELECT *, row_number() OVER (ORDER BY done, user_id) AS i FROM g WHERE valid) SELECT user_id, done, valid FROM g WHERE NOT EXISTS (SELECT 1 FROM n WHERE i = 25) OR (done, user_id) <= (SELECT (done, user_id) FROM n WHERE i = 25)")

@@ -227,13 +227,13 @@ def composed_reward(t):
 @query("""SELECT doc_id, 'documents/' || lang AS data_source, text || '  Think step by step.' AS content, 'user' AS role, 'general' AS ability, 'rule' AS style, source AS ground_truth, 'train' AS split,
  row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents""")
 def rl_prompt_reshape(t):
-    numbers = ordering.row_numbers(t.documents.select("doc_id"), ["doc_id"], "number")
+    numbered = ordering.row_numbers(t.documents.select("doc_id", "text", "lang", "source"), ["doc_id"], "number")
     row = F.struct(
         F.concat(F.lit("documents/"), "lang").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.concat("text", F.lit("  Think step by step.")).alias("content"))).alias("prompt"),
         F.lit("general").alias("ability"), F.struct(F.lit("rule").alias("style"), F.col("source").alias("ground_truth")).alias("reward_model"),
         F.struct(F.lit("train").alias("split"), (F.col("number") - 1).alias("index")).alias("extra_info"),
     )
-    r = t.documents.join(numbers, "doc_id").select("doc_id", row.alias("r"))
+    r = numbered.select("doc_id", row.alias("r"))
     return r.select("doc_id", "r.data_source", F.col("r.prompt")[0]["content"].alias("content"), F.col("r.prompt")[0]["role"].alias("role"), "r.ability", F.col("r.reward_model.style").alias("style"), F.col("r.reward_model.ground_truth").alias("ground_truth"), F.col("r.extra_info.split").alias("split"), F.col("r.extra_info.index").alias("idx"))
 
 
@@ -347,10 +347,10 @@ def pad_bucket(t):
 
 @query("SELECT source, floor_div AS batch, string_agg(doc_id, '#' ORDER BY doc_id) AS packed, count(*) AS n FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS floor_div FROM documents) GROUP BY source, floor_div")
 def batch_pack(t):
-    from pyspark.sql.window import Window
-
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    packed = t.documents.select("source", "doc_id", F.floor(i / 5).alias("batch")).groupBy("source", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "#").alias("packed"))
+    numbered = ordering.row_numbers(t.documents.select("source", "doc_id"), ["source", "doc_id"], "number")
+    first = numbered.groupBy(F.col("source").alias("of")).agg(F.min("number").alias("first"))
+    rows = numbered.join(F.broadcast(first), F.col("source").eqNullSafe(F.col("of")))  # a row a source
+    packed = rows.select("source", "doc_id", F.floor((F.col("number") - F.col("first")) / 5).alias("batch")).groupBy("source", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "#").alias("packed"))
     return packed.select("source", "batch", "packed", F.size(F.filter(F.split("packed", "#"), lambda x: F.trim(x) != "")).cast("long").alias("n"))
 
 

@@ -106,14 +106,16 @@ def pack_and_unpack(t):
     return t.documents.select("doc_id", packed.alias("packed"), F.array_join(layout.unpacked(reply, F.lit(2)), ",").alias("parts"), F.array_join(layout.unpacked(noted, F.lit(2), True), ",").alias("kept"))
 
 
-@query(r"""WITH RECURSIVE w AS (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\r\n]+') AS w FROM conversations WHERE NOT regexp_matches(text, '[一-鿿]')),
-r AS (SELECT conv_id, turn, w, 1 AS i, '' AS line, [] :: VARCHAR[] AS done, true AS go FROM w UNION ALL
-  SELECT conv_id, turn, w, i + 1, CASE WHEN NOT go THEN line WHEN length(longer) * 12 < 520 THEN longer WHEN line = '' THEN '' ELSE w[i] END, CASE WHEN go AND length(longer) * 12 >= 520 AND line <> '' THEN list_append(done, line) ELSE done END, go AND (length(longer) * 12 < 520 OR line <> '')
-  FROM (SELECT *, CASE WHEN line = '' THEN w[i] ELSE line || ' ' || w[i] END AS longer FROM r WHERE i <= len(w)))
-SELECT conv_id, turn, array_to_string((CASE WHEN line = '' THEN done ELSE list_append(done, line) END)[:10], chr(10)) AS lines FROM r WHERE i = len(w) + 1""")
+@query(r"""WITH RECURSIVE x AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN '漢字 ' || text ELSE text END AS text FROM conversations),
+w AS (SELECT conv_id, turn, CASE WHEN cjk THEN string_split(text, '') ELSE regexp_extract_all(text, '[^ \t\r\n]+') END AS w, CASE WHEN cjk THEN '' ELSE ' ' END AS sep, CASE WHEN cjk THEN 14.4 ELSE 12 END AS wide FROM (SELECT *, regexp_matches(text, '[一-鿿]') AS cjk FROM x)),
+r AS (SELECT conv_id, turn, w, sep, wide, 1 AS i, '' AS line, [] :: VARCHAR[] AS done, true AS go FROM w UNION ALL
+  SELECT conv_id, turn, w, sep, wide, i + 1, CASE WHEN NOT go THEN line WHEN length(longer) * wide < 520 THEN longer WHEN line = '' THEN '' ELSE w[i] END, CASE WHEN go AND length(longer) * wide >= 520 AND line <> '' THEN list_append(done, line) ELSE done END, go AND (length(longer) * wide < 520 OR line <> '')
+  FROM (SELECT *, CASE WHEN line = '' THEN w[i] ELSE line || sep || w[i] END AS longer FROM r WHERE i <= len(w) AND len(done) < 10))
+SELECT conv_id, turn, array_to_string((CASE WHEN line = '' THEN done ELSE list_append(done, line) END)[:10], chr(10)) AS lines FROM r WHERE i = len(w) + 1 OR len(done) = 10""")
 def wrapped_lines(t):
-    rows = t.conversations.where(~tx.has_cjk(F.col("text")))
-    return rows.select("conv_id", "turn", F.array_join(layout.wrapped(F.col("text")), "\n").alias("lines"))
+    """All texts; every fourth conversation's begin with two CJK characters, so they break between any two characters."""
+    text = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("漢字 "), "text")).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", F.array_join(layout.wrapped(text), "\n").alias("lines"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars % 120 <= 91 THEN 1.0 ELSE -1.0 END AS score FROM documents")

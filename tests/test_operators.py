@@ -42,13 +42,21 @@ def test_same_rows(spark):
     assert sets.same_rows(spark.createDataFrame([(True,)], "b boolean"), big(1)) and not sets.same_rows(spark.createDataFrame([("1.0",)], "b string"), big(1))
 
 
-def test_duration_batches_keep_the_limit(spark):
-    rows = spark.createDataFrame([(i, (i * 37) % 90 + 1) for i in range(200)] + [(900, 400)], "k int, d int")
-    got = batching.duration_batches(rows, "k", "d", 3, 100, segment=25).collect()
-    by = {}
-    for r in got:
-        by.setdefault((r.tile, r.batch), []).append(r.d)
-    assert len(got) == 201 and all(sum(v) <= 100 or len(v) == 1 for v in by.values()) and [400] in by.values()
+@pytest.mark.parametrize("segment", [1, 7, 25, 10_000])
+def test_duration_batches_do_not_depend_on_segments(spark, segment):
+    import random
+
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice([0.1, 0.7, 1.3, 20.0, 0.0, rnd.random() * 30])) for i in range(180)] + [(900, 400.0), (901, 100.0), (902, 100.0), (903, None), (904, 0.3)]
+    got = {r.k: (r.tile, r.batch) for r in batching.duration_batches(spark.createDataFrame(rows, "k int, d double"), "k", "d", 3, 100.0, segment).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    want, size = {}, -(-len(rows) // 3)
+    for n, (k, d) in enumerate(ordered):
+        if n % size == 0 or total + (d or 0) > 100.0:
+            name, total = n + 1, 0.0
+        total += d or 0
+        want[k] = (n // size + 1, name)
+    assert len(rows) % 3 in (0, 2) and (len(rows) % 3 == 0 or size * 3 - len(rows) == 1) and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
 
 
 def test_runs_stop_when_enough_is_there(spark):
