@@ -1,9 +1,11 @@
 """Language-model scoring: the probability of a text over all subword segmentations of its words.
 
 The pieces and their weights come from an existing vocabulary's scores; a forward recursion in logarithms sums over all
-segmentations. A training word is itself an arc of its lattice, with its count less a discount for counts of its size;
-the discounted mass goes to the pieces, so every word has a probability, the sum over all its segmentations, and all
-words' probabilities and the end's add up to one.
+segmentations. In a few rounds the training words, each once, are segmented in all ways by these weights, and how often a
+piece is expected there is added to its weight; a vocabulary of another corpus would else give the words of this one next
+to nothing. A training word is itself an arc of its lattice, with its count less a discount for counts of its size; the
+discounted mass goes to the pieces, so every word has a probability, the sum over all its segmentations, and all words'
+probabilities and the end's add up to one.
 
 Scale: counts are grouped by word with partial sums. The lattice runs once for each distinct word. Texts meet their
 words' scores in one further pass: the most frequent words, HOT at most, by broadcast, all others by a
@@ -29,6 +31,9 @@ HOT = 100_000
 TEXTS, ROWS = 1 << 22, 50_000
 #: Places of a word that are worked on at once.
 STEP = 1 << 12
+#: Rounds in which training words add to the pieces' weights; the vocabulary's own weight, in words; bytes of a stretch, in
+#: which longer words are cut there.
+ROUNDS, PRIOR, STRETCH = 4, 300.0, 256
 SUMS = ["n_tokens", "n_known", "base", "lp", "sub"]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,6 +136,49 @@ class Lattice:
                 out[part] = self._forward(m)
         return out
 
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each piece is expected in all segmentations of the strings, weighted by their probability."""
+        total = np.zeros(len(self.logp))
+        stretches = [w[a : a + STRETCH] for w in words for a in range(0, len(w), STRETCH)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for _, m in self.batches(stretches):
+                n, size = m.shape
+                arcs = self._arcs(m)
+                scores = [self.logp[a] for a in arcs]
+                before, behind = (np.full((n, size + 1), -np.inf) for _ in "ab")
+                before[:, 0] = behind[:, -1] = 0
+                for t in range(1, size + 1):
+                    before[:, t] = np.logaddexp.reduce([before[:, t - k] + scores[k - 1][:, t - k] for k in range(1, min(len(arcs), t) + 1)], axis=0)
+                for t in range(size - 1, -1, -1):
+                    behind[:, t] = np.logaddexp.reduce([behind[:, t + k] + scores[k - 1][:, t] for k in range(1, min(len(arcs), size - t) + 1)], axis=0)
+                for k, a in enumerate(arcs, 1):
+                    share = np.exp(before[:, :-k] + scores[k - 1] + behind[:, k:] - before[:, -1:])
+                    total += np.bincount(a.ravel(), np.nan_to_num(share).ravel(), len(total))
+        return total[:-1]
+
+
+def fitted(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
+    """Log-probabilities of the pieces: ``prior`` words' worth of ``logp``, and what all rows of ``words`` (word) expect.
+
+    A pass over the words a round; the driver gets a number for each piece of the vocabulary. Without words, ``logp``.
+    """
+    first = logp
+    for _ in range(rounds):
+        model = words.sparkSession.sparkContext.broadcast((pieces, logp))
+
+        def count(batches, model=model):
+            lattice, total = Lattice(*model.value), np.zeros(len(model.value[0]))
+            for b in batches:
+                total += lattice.expected([b" " + w.encode() for w in b.column(0).to_pylist()])
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
+
+        sums = words.select("word").mapInArrow(freed(count), "piece long, n double").groupBy("piece").agg(F.round(F.sum("n"), 9).alias("n")).toArrow()
+        weight = prior * np.exp(first)
+        weight[sums.column("piece").to_numpy()] += sums.column("n").to_numpy()
+        logp = np.log(weight) - math.log(weight.sum())
+    return logp
+
 
 def token_array(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Tokens of each document in order (A-Z lower-cased), and each one's document."""
@@ -204,7 +252,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Rows whose crc32(doc_id) mod 10 is not 0 train. ``lattice_score`` is the log10 probability of the words over all
-    segmentations by the vocabulary's scores alone; in ``score`` training words are arcs too, and the end counts. A null
+    segmentations into pieces alone; in ``score`` training words are arcs too, and the end counts. A null
     text counts as ''; it has one token, the end. Repeated rows are scored each; a null id folds as the text ''. Without
     training rows, half of the probability goes to the end. Other columns are not read.
     """
@@ -221,7 +269,8 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
     mass = (off[0] * few[0] + off[1] * few[1] + off[2] * many) / n if n else 0.5
     end = math.log10(max(ends - off[2], 0.25) / n) if ends else math.log10(0.5)
 
-    model = spark.sparkContext.broadcast(load_pieces(vocabulary))
+    pieces, scores = load_pieces(vocabulary)
+    model = spark.sparkContext.broadcast((pieces, fitted(counts.where("c > 0"), pieces, scores)))
 
     def score(batches):
         lattice = Lattice(*model.value)
