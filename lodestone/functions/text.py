@@ -52,6 +52,12 @@ def think_format(c: Column) -> Column:
     return c.rlike(r"(?s)\A<think>.*?</think>") & each_once(c, "<think>", "</think>")
 
 
+def think_answer_boxes(c: Column) -> Column:
+    """Both tags of a thought, an answer's opening one, and as many begins as ends of boxes."""
+    has = lambda s: F.contains(c, F.lit(s))
+    return has("<think>") & has("</think>") & has("<answer>") & (count_of(c, "<|begin_of_box|>") == count_of(c, "<|end_of_box|>"))
+
+
 def thinking_then_content(c: Column) -> Column:
     """A thought in any case of its tags, with text after its first end."""
     return c.rlike(r"(?is)<think>.*?</think>") & (strip(F.regexp_extract(c, r"(?is)</think>(.*)$", 1)) != "")

@@ -347,14 +347,14 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``; it is made and written first if nothing is there."""
+def cached(spark: SparkSession, path: str, make, max_rows: int | None = None) -> DataFrame:
+    """The table at ``path``; it is made and written first if nothing is there, in files of ``max_rows`` at most."""
     try:
         return spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    make().write.parquet(path)
+    write_parquet(make(), path, max_rows=max_rows)
     return spark.read.parquet(path)
 
 
