@@ -48,8 +48,14 @@ CC_VERSIONS = {"2.0": "generic", "2.5": "generic", "3.0": "unported", "4.0": "in
 #: What stands before a name, normalised.
 HEAD = (
     r"^(?:(?:(?:this|the) (?:work|software|project|program|library|file|code|source code|package|document|text|content|dataset|material) is )?"
-    r"(?:dual )?(?:licen[cs]ed|released|distributed|published|made available|available|provided) (?:under|subject to)(?: the terms(?: and conditions)? of)?|spdx license identifier|licen[cs]e) (?:the |an? )?"
+    r"(?:dual )?(?:licen[cs]ed|released|distributed|published|made available|available|provided) (?:under|subject to)(?: the terms(?: and conditions)? of)?"
+    r"|(?:(?:the )?use of )?this (?:source code|software|code|file|package) is governed by|spdx license identifier|licen[cs]e) (?:either )?(?:of )?(?:the |an? )?"
 )
+#: Between names, and what may stand behind one: an exception, or where its text is.
+JOINT = r" (?:and|or) (?:the |an? )?"
+ASIDE = r" with [a-z0-9 ]*exception(?: [0-9 ]+)?| (?:that |which )?(?:can |may )?(?:be |is )?found in the licen[cs]e file.*$"
+#: Words of names that are no joint.
+WHOLE = {" or later": " orlater", "development and distribution": "development anddistribution"}
 #: A name without anything before it must look like this.
 ALONE = r"licen[cs]e|^cc by |^cc0 |^creative commons "
 
@@ -194,6 +200,7 @@ LAST = [("All-rights-reserved", ["All-rights-reserved"])]
 def names() -> dict[str, str]:
     """Normalised name to licence."""
     out = {name: key for key, every in NAMES.items() for name in every}
+    out |= {f"{name} license": key for name, key in out.items() if "licen" not in name and f"{name} license" not in out}
     for terms, words in CC_TERMS.items():
         spaced = words.replace("sharealike", "share alike").replace("noncommercial", "non commercial").replace("noderivatives", "no derivatives")
         for version, port in CC_VERSIONS.items():
@@ -203,6 +210,13 @@ def names() -> dict[str, str]:
     return out
 
 
+def joined(name: str) -> str:
+    """A name as it stands once its own joints are closed."""
+    for words, closed in WHOLE.items():
+        name = name.replace(words, closed)
+    return name
+
+
 def _gnu():
     """Family, its terms and, for each version, the licence and the version as identifiers have it."""
     for family, (name, versions) in GNU.items():

@@ -124,6 +124,15 @@ LICENSED = [
     ("SPDX-License-Identifier: GPL-2.0-only\nx = 1", "GPL-2.0", "licensed", 0),
     ("Released under the MIT License.\nReleased under the MIT License.", "MIT", "licensed", 0),
     ("License: BSD-3-Clause", "BSD-3-Clause", "licensed", 0),
+    ("Released under the GPLv3 license", "GPL-3.0", "licensed", 0),
+    ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD", "licensed", 0),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later", "MIT,Apache-2.0,GPL-2.0", "licensed", 0),
+    ("Dual licensed under MIT and Apache-2.0.", "MIT,Apache-2.0", "licensed", 0),
+    ("License: Apache-2.0 WITH LLVM-exception", "Apache-2.0", "licensed", 0),
+    ("Licensed under either of the MIT license or the Common Development and Distribution License 1.0", "MIT,CDDL-1.0", "licensed", 0),
+    ("Licensed under MIT or something else", "", "unknown", 0),
+    ("MIT or Apache-2.0 license", "", "none", 0),
+    ("This file is governed by an unheard-of license", "", "unknown", 0),
     ("Licensed under the Rainbow License.", "", "unknown", 0),
     ("A licence to kill is a film.", "", "none", 0),
     ("No word of rights.", "", "none", 0),
@@ -385,7 +394,7 @@ def test_chroma_compares_every_place(spark):
     prints |= {7: noisy(base[1][50:], 0.18), 8: noisy(base[4][300:380], 0.2), 9: base[2][:39], 11: np.zeros(90, np.int32), 120: np.zeros(50, np.int32)}
     want = {(q, c): found for q in prints if q % 20 == 0 for c in prints if c != q and (found := brute(prints[q], prints[c]))}
     df = spark.createDataFrame([(i, p.tolist()) for i, p in prints.items()], "id long, fp array<int>")
-    got = {(r.class_id, r.recording_id): (r["at"], r.frames, r.hits, r.bit_error) for r in chroma.search(df, F.col("id") % 20 == 0).collect() if r.kind == "match"}
+    got = {(r.class_id, r.recording_id): (r["at"], r.frames, r.hits, r.bit_error) for r in chroma.search(df, F.col("id") % 20 == 0, exact=True).collect() if r.kind == "match"}
     assert got == want and len(got) >= 28
 
 
