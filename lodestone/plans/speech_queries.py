@@ -48,6 +48,27 @@ def word_stats(t):
     return recognition.by_word(recognition.aligned_pairs(_heard(t, False), "ref", "hyp"))
 
 
+# Where a word was put in front and the last one is lost, ties decide: through the misheard words at the start, each stands beside the one
+# before it, and the last of them is the insertion.
+_LEAD = f"SELECT *, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: w[i] = m[i])), len(w) + 1) - 1 AS k FROM ({_SHIFT})"
+_STEPS = f"""SELECT unnest(CASE WHEN NOT shifted THEN list_transform(range(1, len(w) + 1), lambda i: {{'r': w[i], 'h': m[i]}}) ELSE list_concat(
+  list_transform(range(1, k + 1), lambda i: {{'r': w[i], 'h': CASE WHEN i = 1 THEN 'zzz' ELSE m[i - 1] END}}), [{{'r': '', 'h': CASE WHEN k = 0 THEN 'zzz' ELSE m[k] END}}],
+  list_transform(range(k + 1, len(w)), lambda i: {{'r': w[i], 'h': m[i]}}), [{{'r': w[len(w)], 'h': ''}}]) END, recursive := true) FROM ({_LEAD})"""
+
+
+@query(f"""SELECT word, CAST(sum(a) AS BIGINT) AS corr, CAST(sum(e) AS BIGINT) AS tot_errs, CAST(sum(x) AS BIGINT) AS in_ref, CAST(sum(y) AS BIGINT) AS in_hyp
+FROM (SELECT r AS word, (r = h) :: INT AS a, (r <> h) :: INT AS e, 1 AS x, 0 AS y FROM ({_STEPS}) UNION ALL SELECT h, 0, (r <> h) :: INT, 0, 1 FROM ({_STEPS})) WHERE word <> '' GROUP BY word""")
+def word_stats_with_gaps(t):
+    """Errors by word where words are inserted and lost, too."""
+    return recognition.by_word(recognition.aligned_pairs(_heard(t), "ref", "hyp"))
+
+
+@query(f"""SELECT script, count(*) FILTER (r <> '') AS n, count(*) FILTER (r = h) AS c, count(*) FILTER (r <> h AND r <> '' AND h <> '') AS s, count(*) FILTER (h = '') AS d, count(*) FILTER (r = '') AS i, round(100.0 * count(*) FILTER (r <> h) / nullif(count(*) FILTER (r <> ''), 0), 6) AS wer
+FROM (SELECT r, h, {_CLASS} AS script FROM (SELECT *, regexp_replace(CASE r WHEN '' THEN h ELSE r END, '[&''@℃=.\\-_#+;]', '', 'g') AS b FROM ({_STEPS}))) GROUP BY script""")
+def script_totals_with_gaps(t):
+    return recognition.by_script(recognition.aligned_pairs(_heard(t), "ref", "hyp"))
+
+
 @query(r"""SELECT conv_id, turn, array_to_string(flatten(list_transform(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^ \t\r\n]+'), lambda x: upper(replace(x, 'ß', 'ss'))), lambda x: x NOT IN ('THE', 'UND')), lambda x: regexp_replace(x, '<[^>]*>?', '', 'g')), lambda x: x <> ''),
  lambda x: CASE x WHEN 'CAN' THEN ['C', 'AN'] WHEN 'IS' THEN ['I', 'S'] ELSE [x] END)), ' ') AS tokens FROM conversations""")
 def normalised_tokens(t):
