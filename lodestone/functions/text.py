@@ -207,14 +207,22 @@ MARKUP = ["<sil>", "<%>", "<->", "<$>", "<#>", "<_>", "<space>"]
 DROPPED, WIDE, NARROW = "`&,", "Ａａｂｃｋｔ，丶。、？", "AABCKT"
 
 
+def _once(c: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalise_transcript(c: Column) -> Column:
     """A meeting transcript without markup and punctuation, in capitals where it has Latin letters."""
-    out = F.translate(c, "\u00a0 ", "")
-    plain = out
-    for m in MARKUP:
-        out = F.replace(out, F.lit(m), F.lit(""))
-    out = F.translate(F.when(F.contains(plain, F.lit("<")), out).otherwise(plain), DROPPED, "")
-    out = F.when(out.rlike("[a-zA-Z]"), F.upper(out)).otherwise(out)
+
+    def marked(x: Column) -> Column:
+        out = x
+        for m in MARKUP:
+            out = F.replace(out, F.lit(m), F.lit(""))
+        return F.when(F.contains(x, F.lit("<")), out).otherwise(x)
+
+    out = F.translate(_once(F.translate(c, "\u00a0 ", ""), marked), DROPPED, "")
+    out = _once(out, lambda x: F.when(x.rlike("[a-zA-Z]"), F.upper(x)).otherwise(x))
     return remove_punctuation(F.translate(out, WIDE, NARROW))
 
 

@@ -140,3 +140,13 @@ def test_phrases_leftmost_longest(spark):
     table = spark.createDataFrame([("漢字", "汉字"), ("abcab", "1"), ("bc", "2"), ("abd", "3"), ("", "no"), (None, "no"), ("xyz", None), ("bc", "9")], "p string, r string")
     assert [r[0] for r in texts.select(phrases.rewriter(table, "p", "r")(F.col("t"))).collect()] == ["汉字1d", None, "", ""]
     assert [r[0] for r in texts.select(phrases.rewriter(table.limit(0), "p", "r")(F.col("t"))).collect()][:3] == ["漢字abcabd", None, ""]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_cosines_within_groups(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], i, rng.normal(size=4).tolist()) for i in range(50)] + [("a", 90, [0.0] * 4), ("a", 91, None), ("b", 92, []), (None, 93, [1.0] * 4), ("b", None, [1.0] * 4), ("c", 94, [1.0] * 4), ("a", 95, [1.0])]
+    got = {(r.src, r.dst): r.cosine for r in graph.cosines_within(spark.createDataFrame(rows, "g string, k long, v array<double>"), "g", "k", "v", block).collect()}
+    unit = {k: (g, np.array(v) / (np.linalg.norm(v) or 1)) for g, k, v in rows if v and len(v) == 4 and g and k is not None}
+    want = {(i, j): float(unit[i][1] @ unit[j][1]) for i in unit for j in unit if i < j and unit[i][0] == unit[j][0]}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
