@@ -23,7 +23,7 @@ from lodestone.llm.common import bounded, freed
 #: Bytes that the pieces a worker keeps may take, in two halves: the younger one, and what was used before it was begun.
 CACHE_BYTES = 64 << 20
 #: Characters of text that are cut into pieces at once; pieces not known yet are encoded together.
-CHUNK = 3_000_000
+CHUNK = 4_000_000
 #: Bytes that a piece takes besides its characters: its tuple, its strings' heads, its place in a dictionary.
 _PIECE = 350
 

@@ -22,7 +22,7 @@ BROADCAST_BYTES = 16 << 20
 #: Rows of one key that one task should meet.
 PLACE = 50_000
 #: Rows and bytes of an Arrow batch at most.
-ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def bounded(df: DataFrame) -> DataFrame:
