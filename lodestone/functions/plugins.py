@@ -62,17 +62,28 @@ def echo(prompts: list[str]) -> list[str]:
     return ["reply " + hashlib.md5(p.encode()).hexdigest()[:8] for p in prompts]
 
 
-def complete(rows: DataFrame, prompt: str, client: Callable[[list[str]], list[str]] = echo, batch: int = 64) -> DataFrame:
-    """Add ``response`` and ``error``: a batch that fails has its error and an empty response, others go on."""
+def complete(rows: DataFrame, prompt: str, client: Callable[[list[str]], list[str]] = echo, batch: int = 64, seconds: float | None = None) -> DataFrame:
+    """Add ``response`` and ``error``: a batch that fails has its error and an empty response, others go on.
+
+    A batch that takes longer than ``seconds`` fails by that; what the client still does then is not waited for.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
         for part in parts:
             for low in range(0, len(part), batch):
                 some = part.iloc[low : low + batch].copy()
+                prompts = some[prompt].fillna("").tolist()
+                pool = ThreadPoolExecutor(1) if seconds is not None else None
                 try:
-                    some["response"], some["error"] = client(some[prompt].fillna("").tolist()), None
+                    some["response"], some["error"] = (pool.submit(client, prompts).result(seconds) if pool else client(prompts)), None
+                except TimeoutError:
+                    some["response"], some["error"] = "", f"no answer within {seconds} s"
                 except Exception as e:  # noqa: BLE001  a client may raise anything
                     some["response"], some["error"] = "", str(e)
+                if pool:
+                    pool.shutdown(wait=False, cancel_futures=True)
                 yield some
 
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string")

@@ -192,6 +192,21 @@ def failing_batches(t):
     return plugins.complete(rows, "prompt", client, batch=1).select("event_id", "response", F.col("error").isNotNull().alias("failed"))
 
 
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 10 = 7 THEN -1.0 ELSE n_regionkey * 1.0 END AS score, CASE WHEN n_nationkey % 10 = 7 THEN 'no answer within 0.5 s' END AS error FROM nation")
+def scores_within_time(t):
+    """A scorer that takes too long for some rows: those have the worst score."""
+
+    def client(prompts):
+        import time
+
+        time.sleep(2.0 * any(p.startswith("7:") for p in prompts))
+        return [p.split(":")[1] for p in prompts]
+
+    rows = t.nation.select("n_nationkey", F.concat_ws(":", F.col("n_nationkey") % 10, "n_regionkey").alias("prompt"))
+    scored = plugins.complete(rows, "prompt", client, batch=1, seconds=0.5)
+    return scored.select("n_nationkey", F.when(F.col("error").isNull(), F.col("response").cast("double")).otherwise(-1.0).alias("score"), "error")
+
+
 @query("WITH RECURSIVE r(root, part, depth) AS (SELECT user_id, event_id, 0 FROM events WHERE event_id < 50 UNION ALL SELECT root, o.o_orderkey, depth + 1 FROM r JOIN orders o ON o.o_custkey = r.part WHERE depth < 2) SELECT root, part, depth FROM r")
 def recursive_expansion(t):
     """A recursive query over events and the orders that hang on them."""

@@ -74,6 +74,19 @@ def test_alignment_of_long_texts_is_small():
     assert got["cor"] + got["sub"] + got["del"] == got["all"] == 6000 and got["ins"] - got["del"] == 14_000
 
 
+def test_similarity_equals_the_standard_librarys(spark):
+    import difflib
+
+    rnd = random.Random(3)
+    texts = [("".join(rnd.choices("abcdefgh é"[:k], k=rnd.randrange(n))), "".join(rnd.choices("abcdefgh é"[:k], k=rnd.randrange(n)))) for n in (12, 60, 450) for k in (2, 5, 10) for _ in range(12)]
+    texts += [("the quick brown fox " * 15, "the brown quick fox " * 16), ("", "a"), ("İx", "i̇X")]
+    for a, b in texts:
+        if a and b:
+            assert 2.0 * align.matched(a, b) / (len(a) + len(b)) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    got = [r[0] for r in spark.createDataFrame([("AB", "ab"), (None, "a"), ("", ""), ("a", "b")], "a string, b string").select(align.similarity_ratio("a", "b")).collect()]
+    assert got == [1.0, 0.0, 0.0, 0.0]
+
+
 def scanned(rows, threshold):
     out, lead = {}, {}
     for g, k, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
