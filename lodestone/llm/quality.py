@@ -181,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the texts of ``docs`` whose ``labels`` (doc_id, quality) have crc32(doc_id) mod 4 other than 2.
 
     At most about ``sample`` rows of each label are drawn, by a hash of their id. Labels of a repeated id count once,
-    the larger; null labels and ids don't count. Without labelled rows, every score is 0.5.
+    the larger; labels other than 0 and 1 and null ids don't count. Without labelled rows, every score is 0.5.
     """
     spark = docs.sparkSession
-    own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (doc_mod(F.col("doc_id"), 4) != 2))
+    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (doc_mod(F.col("doc_id"), 4) != 2))
     own = own.groupBy("doc_id").agg(F.max("quality").alias("y"))
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a label
     blank = Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros(2 * DIM + 3), np.ones(2 * DIM + 3), [np.zeros((2 * DIM + 3, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)], 1.0)

@@ -273,6 +273,14 @@ def test_scores(spark, hot):
     assert lattice.score_texts(table(spark, []), path).count() == 0
 
 
+# -- quality: what counts as a label --------------------------------------------------------------------------------------
+def test_quality_learns_from_known_labels_only(spark):
+    docs = table(spark, [(i, f"text number {i}") for i in range(20)])
+    odd = spark.createDataFrame([(i, q) for i, q in enumerate([5, -1, None, 2] * 5)] + [(None, 1)], "doc_id long, quality int")
+    assert not quality.fit(docs, odd).learned
+    assert quality.fit(docs, odd.unionByName(spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))).learned
+
+
 # -- sharding ------------------------------------------------------------------------------------------------------------
 def test_best_fit_decreasing():
     rnd = random.Random(1)
