@@ -157,6 +157,18 @@ class Lattice:
         return total[:-1]
 
 
+def _gathered(batches):
+    """Batches of ROWS words or more, or of TEXTS bytes: a lattice works on all words of one length at once."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held, rows, size = [*held, b], rows + b.num_rows, size + b.nbytes
+        if rows >= ROWS or size >= TEXTS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def fitted(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
     """Log-probabilities of the pieces: ``prior`` words' worth of ``logp``, and what all rows of ``words`` (word) expect.
 
@@ -168,7 +180,7 @@ def fitted(words: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int
 
         def count(batches, model=model):
             lattice, total = Lattice(*model.value), np.zeros(len(model.value[0]))
-            for b in batches:
+            for b in _gathered(batches):
                 total += lattice.expected([b" " + w.encode() for w in b.column(0).to_pylist()])
             at = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
@@ -274,7 +286,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hot: int = HOT) -> DataFrame:
 
     def score(batches):
         lattice = Lattice(*model.value)
-        for b in batches:
+        for b in _gathered(batches):
             c = b.column("c").to_numpy()
             sub = lattice.score([b" " + w.encode() for w in b.column("word").to_pylist()]) / math.log(10)
             own = np.maximum(c - np.array([0.0, *off])[np.minimum(c, 3)], 0) / max(n, 1)
