@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,25 +69,39 @@ def complete(rows: DataFrame, prompt: str, client: Callable[[list[str]], list[st
     A batch that takes longer than ``seconds`` fails by that; what the client still does then is not waited for.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from concurrent.futures import ThreadPoolExecutor
 
+        pool = None
         for part in parts:
-            for low in range(0, len(part), batch):
-                some = part.iloc[low : low + batch].copy()
-                prompts = some[prompt].fillna("").tolist()
-                pool = ThreadPoolExecutor(1) if seconds is not None else None
+            responses: list[str] = []
+            errors: list[str | None] = []
+            prompts = ["" if p is None else p for p in part[prompt].to_pylist()]
+            for low in range(0, len(prompts), batch):
+                some = prompts[low : low + batch]
                 try:
-                    some["response"], some["error"] = (pool.submit(client, prompts).result(seconds) if pool else client(prompts)), None
+                    if seconds is None:
+                        found = list(client(some))
+                    else:
+                        pool = pool or ThreadPoolExecutor(1)
+                        found = list(pool.submit(client, some).result(seconds))
+                    if len(found) != len(some):
+                        raise ValueError(f"{len(found)} responses to {len(some)} prompts")
+                    error = None
                 except TimeoutError:
-                    some["response"], some["error"] = "", f"no answer within {seconds} s"
+                    found, error = [""] * len(some), f"no answer within {seconds} s"
+                    if pool:  # its thread may still be busy
+                        pool = pool.shutdown(wait=False, cancel_futures=True)
                 except Exception as e:  # noqa: BLE001  a client may raise anything
-                    some["response"], some["error"] = "", str(e)
-                if pool:
-                    pool.shutdown(wait=False, cancel_futures=True)
-                yield some
-
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string")
+                    found, error = [""] * len(some), str(e)
+                responses += found
+                errors += [error] * len(some)
+            added = [pa.array(responses, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "response", "error"])
+        if pool:
+            pool.shutdown(wait=False)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string")
 
 
 def hashed_embedding(texts: list[str], size: int = 256) -> list[list[float]]:
