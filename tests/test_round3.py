@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import plugins
+from lodestone.functions import formulas, plugins
 from lodestone.functions import text as tx
 from lodestone import plans  # noqa: F401  registers the queries
 from lodestone.plans import registry
@@ -48,3 +48,8 @@ def test_conversations_of_a_system_turn_only(spark, tmp_path):
 def test_transcripts_without_ascii_letters_are_in_capitals(spark):
     df = spark.createDataFrame([("é ñí, ß.",), ("a é",), ("<sil>ü",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.normalise_transcript(F.col("t"))).collect()] == ["ÉÑÍSS", "AÉ", "Ü", "", None]
+
+
+def test_groups_behind_four_digits():
+    assert formulas.equal("1002,000", "1002000") and formulas.equal("-1002,000", "-1002000") and formulas.equal("1,002,000", "1002000")
+    assert not formulas.equal("(1002,000)", "1002000") and not formulas.equal("1002,00", "100200") and formulas.equal("1002, 3", "1002,3")
