@@ -104,8 +104,11 @@ def graph_edge_kinds(t):
     """Edges by kind, and whether all nodes hang together: users and the thirteen places they go to."""
     edges = t.events.select(F.when(F.col("value") > 50, "strong").otherwise("weak").alias("kind"), "user_id", (F.col("user_id") % 13 + 1000).alias("place"))
     edges = edges.select("kind", F.col("user_id").cast("long").alias("src"), F.col("place").cast("long").alias("dst"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    whole = graph.components(nodes, edges.select("src", "dst")).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    nodes = edges.select("src").union(edges.select("dst")).distinct().agg(F.count("*").alias("nodes"))
+    # users and places are apart even where their numbers are equal: in the graph a user has an odd number, a place an even one
+    ways = edges.select((2 * F.col("src") + 1).alias("src"), (2 * F.col("dst")).alias("dst")).where("src is not null and dst is not null").distinct()
+    found = graph.components(ways.select(F.col("src").alias("id")).union(ways.select("dst")).distinct(), ways)
+    whole = nodes.crossJoin(found.agg(F.count_distinct("component").alias("components")))  # a row each
     kinds = edges.groupBy("kind").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
     return kinds.crossJoin(F.broadcast(whole)).select("kind", "edges", "sources", "nodes", "components", (F.col("components") == 1).alias("connected"))  # one row
 

@@ -53,3 +53,11 @@ def test_transcripts_without_ascii_letters_are_in_capitals(spark):
 def test_groups_behind_four_digits():
     assert formulas.equal("1002,000", "1002000") and formulas.equal("-1002,000", "-1002000") and formulas.equal("1,002,000", "1002000")
     assert not formulas.equal("(1002,000)", "1002000") and not formulas.equal("1002,00", "100200") and formulas.equal("1002, 3", "1002,3")
+
+
+def test_users_numbered_as_places_are_apart(spark, tmp_path):
+    """User 1000 goes to place 1012, and user 1012 to 1011: no way from one place to another."""
+    rows = [(60.0, 1000), (1.0, 1012), (1.0, 12)]
+    folder = tables(spark, tmp_path, events=(rows, "value double, user_id long"))
+    got = sorted(tuple(r) for r in registry.QUERIES["graph_edge_kinds"](spark, folder).collect())
+    assert got == [("strong", 1, 1, 4, 2, False), ("weak", 2, 2, 4, 2, False)]
