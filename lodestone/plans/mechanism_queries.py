@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import calls, phrases, sound
+from lodestone.functions.vectors import rounded
 from lodestone.operators import nearness, sketches
 from lodestone.plans.registry import query
 from lodestone.sources import arrays
@@ -97,4 +98,4 @@ def phrase_rewriting(t):
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.42")
 def near_vector_pairs(t):
-    return nearness.near_pairs(t.embeddings, "vec_id", "embedding", 0.42, block=64)[0].select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return nearness.near_pairs(t.embeddings, "vec_id", "embedding", 0.42, block=64)[0].select("a", "b", rounded(F.col("cosine"), 6).alias("cosine"))
