@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import align
 from lodestone.functions import text as tx
+from lodestone.storage import bounded
 
 #: Signs that may stand in a word without changing its script.
 NEUTRAL = "[&'@℃=.\\-_#+;]"
@@ -35,7 +36,9 @@ def script(word: Column) -> Column:
 
 def aligned_pairs(rows: DataFrame, ref: str, hyp: str, *by: str) -> DataFrame:
     """(by, op, ref, hyp): a row for each step of the alignments of two token arrays."""
-    return rows.select(*by, F.explode(align.aligned(ref, hyp)["pairs"]).alias("p")).select(*by, "p.op", "p.ref", "p.hyp")
+    some = bounded(rows.select(*by, F.col(ref).alias("_ref"), F.col(hyp).alias("_hyp")))
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in some.schema.fields[:-2])
+    return some.mapInArrow(align.steps(list(by)), own + "op string, ref string, hyp string")
 
 
 def _counts(rate: bool = True) -> list[Column]:
@@ -66,5 +69,4 @@ def by_word(pairs: DataFrame) -> DataFrame:
 
 def hypothesis_error(hypothesis: Column, rewritten: Column) -> Column:
     """Edits from a hypothesis to its rewritten form by its length, to four digits; 1 for an empty one."""
-    a = align.aligned(hypothesis, rewritten)
-    return F.when(F.size(hypothesis) == 0, F.lit(1.0)).otherwise(F.round((a["sub"] + a["ins"] + a["del"]) / F.size(hypothesis), 4))
+    return F.when(F.size(hypothesis) == 0, F.lit(1.0)).otherwise(F.round(align.edits(hypothesis, rewritten) / F.size(hypothesis), 4))

@@ -10,7 +10,7 @@ from lodestone.operators import batching, recognition, sampling
 from lodestone.operators import speech as sp
 from lodestone.plans.registry import query
 from lodestone.sources import files
-from lodestone.storage import scratch
+from lodestone.storage import bounded, scratch
 
 # Words of conversations against a changed copy: "th" and "an" are misheard as what no word has; of texts of 8 words or more, fewer than a
 # third of them misheard, a word is put in front and the last one lost. So the least alignment is known.
@@ -78,7 +78,7 @@ def normalised_tokens(t):
 
 @query(f"SELECT conv_id, role, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(wrong * 1.0 / len(w), 4) END AS hypo_wer FROM ({_SHIFT}) WHERE len(w) > 0 AND round(wrong * 1.0 / len(w), 4) <= 0.1")
 def hypothesis_filter(t):
-    rows = _heard(t, False).select("conv_id", "role", recognition.hypothesis_error(F.col("ref"), F.col("hyp")).alias("hypo_wer"))
+    rows = bounded(_heard(t, False)).select("conv_id", "role", recognition.hypothesis_error(F.col("ref"), F.col("hyp")).alias("hypo_wer"))
     return rows.where(F.col("hypo_wer") <= 0.1)
 
 
@@ -173,4 +173,4 @@ def substitution_histogram(t):
 
 @query()
 def characterised(t):
-    return t.documents.select("doc_id", F.size(align.characterised("text")).alias("n"), align.display_width("text").alias("width"))
+    return bounded(t.documents).select("doc_id", F.size(align.characterised("text")).alias("n"), align.display_width("text").alias("width"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import formulas, plugins
+from lodestone.functions import align, formulas, plugins
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import rounded
 from lodestone.operators import graph, nearness, tiles
@@ -123,3 +123,20 @@ def test_all_edges_count_not_a_rows_nearest_ones(spark, tmp_path):
     folder = tables(spark, tmp_path, embeddings=([(i, [1.0, 2.0], 0) for i in range(15)], "vec_id long, embedding array<float>, label int"))
     got = registry.QUERIES["graph_stats"](spark, folder).first()
     assert (got.nodes, got.edges, got.components, got.largest) == (15, 105, 1, 15)
+
+
+def test_steps_of_alignments_come_in_small_batches(monkeypatch):
+    """What is held of many alignments is a few thousand steps, not all of a batch of rows."""
+    monkeypatch.setattr(align, "STEPS", 100)
+    words = [[f"w{i}" for i in range(n)] for n in (30, 0, 80, 5, 40, 0)]
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5, 6], "_ref": words, "_hyp": [["x", *w[1:]] for w in words]})
+    got = list(align.steps(["k"])(iter([batch])))
+    assert [b.num_rows for b in got] == [111, 46]
+    assert sum(b["op"].to_pylist().count("cor") for b in got) == 151 and {k for b in got for k in b["k"].to_pylist()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_edits_are_those_of_the_alignment(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "c", "d"]), ([], []), (None, ["a"]), (["a"], None)], "a array<string>, b array<string>")
+    a = align.aligned("a", "b")
+    got = df.select(align.edits("a", "b").alias("n"), (a["sub"] + a["ins"] + a["del"]).alias("m")).collect()
+    assert [(r.n, r.m) for r in got] == [(2, 2), (0, 0), (1, 1), (1, 1)]
