@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Rows that one task compares; tasks that copies of one row are dealt to at first.
+PART_ROWS, DEALS = 400_000, 64
+
 
 def _canonical(value: Column, kind: T.DataType) -> Column:
     """A text that equal values share: whole numbers as such whatever their type, texts apart from numbers, null by itself."""
@@ -31,17 +34,24 @@ def _canonical(value: Column, kind: T.DataType) -> Column:
 
 
 def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, row): a digest of each distinct row by position, columns of ``by`` left out; equal rows have equal digests anywhere."""
+    """(by, row): a digest of each row by position, columns of ``by`` left out; equal rows have equal digests anywhere."""
     by = by or []
     plain = df.select(*by, *(c for c in df.columns if c not in by)).toDF(*by, *(f"c{i}" for i in range(len(df.columns) - len(by))))
     values = F.to_json(F.struct(*(_canonical(F.col(f.name), f.dataType).alias(f.name) for f in plain.schema.fields[len(by) :]), F.lit(1).alias("end")))
-    return plain.select(*by, F.unhex(F.sha2(values.cast("binary"), 256)).alias("row")).distinct()
+    return plain.select(*by, F.unhex(F.sha2(values.cast("binary"), 256)).alias("row"))
+
 
+def _sides(a: DataFrame, b: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    """Distinct digests of both sides' rows with the sum of the sides that have them: 3 if both do.
 
-def _sides(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct digests of both sides' rows with the sum of the sides that have them: 3 if both do."""
-    both = row_digests(a, by).withColumn("side", F.lit(1)).unionByName(row_digests(b, by).withColumn("side", F.lit(2)))
-    return both.groupBy(*by, "row").agg(F.sum("side").alias("sides"))
+    Digests are dealt out before they are grouped, so what a task holds depends on ``parts`` (by default the session's shuffle
+    partitions), not on the files' splits. Copies of one digest are first dealt to several tasks.
+    """
+    number = [parts] if parts else []
+    both = row_digests(a, by).withColumn("sides", F.lit(1)).unionByName(row_digests(b, by).withColumn("sides", F.lit(2)))
+    dealt = both.withColumn("deal", F.spark_partition_id() % DEALS).repartition(*number, *by, "row", "deal")
+    once = dealt.groupBy(*by, "row", "deal").agg(F.bit_or("sides").alias("sides"))
+    return once.repartition(*number, *by, "row").groupBy(*by, "row").agg(F.bit_or("sides").alias("sides"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -54,8 +64,12 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def same_rows_by(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """(by, equal): ``same_rows`` of the rows of each key at once, the key's columns left out; a null key is a key."""
-    return _sides(a, b, by).groupBy(*by).agg((F.bool_and(F.col("sides") == 3) & F.lit(len(a.columns) == len(b.columns))).alias("equal"))
+    """(by, equal): ``same_rows`` of the rows of each key at once, the key's columns left out; a null key is a key.
+
+    The rows are counted first, as a task compares PART_ROWS of them, however many there are.
+    """
+    parts = max(1, -(-(a.count() + b.count()) // PART_ROWS))
+    return _sides(a, b, by, parts).groupBy(*by).agg((F.bool_and(F.col("sides") == 3) & F.lit(len(a.columns) == len(b.columns))).alias("equal"))
 
 
 def first_by_signature(rows: DataFrame, signature: Column, order: str) -> DataFrame:

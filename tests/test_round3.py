@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import align, formulas, plugins
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import rounded
-from lodestone.operators import graph, nearness, tiles
+from lodestone.operators import graph, nearness, sets, tiles
 from lodestone import plans  # noqa: F401  registers the queries
 from lodestone.plans import registry
 
@@ -140,3 +140,14 @@ def test_edits_are_those_of_the_alignment(spark):
     a = align.aligned("a", "b")
     got = df.select(align.edits("a", "b").alias("n"), (a["sub"] + a["ins"] + a["del"]).alias("m")).collect()
     assert [(r.n, r.m) for r in got] == [(2, 2), (0, 0), (1, 1), (1, 1)]
+
+
+def test_rows_compared_by_one_task_do_not_grow(spark, monkeypatch):
+    seen, sides = [], sets._sides
+    monkeypatch.setattr(sets, "PART_ROWS", 100, raising=False)
+    monkeypatch.setattr(sets, "_sides", lambda *args: seen.append(sides(*args)) or seen[-1])
+    rows = lambda *skip: spark.range(2000).where(~F.col("id").isin(*skip)).select((F.col("id") % 50).alias("k"), "id")
+    copies = spark.range(3000).select(F.lit(50).cast("long").alias("k"), F.lit(1).cast("long").alias("id"))
+    got = {r.k: r.equal for r in sets.same_rows_by(rows(-1).union(copies), rows(7, 1008).union(copies.limit(1)), ["k"]).collect()}
+    assert got == {k: k not in (7, 8) for k in range(51)}
+    assert max(r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()) <= 200
