@@ -420,6 +420,22 @@ def test_chroma_index_finds_what_a_full_search_finds():
     assert len(got) >= 0.97 * len(want) and all(want[k] == v for k, v in got.items())
 
 
+def test_chroma_index_compares_a_block_at_once(monkeypatch):
+    """Prints of any lengths; candidates of all runs are compared by place, and those that match once more, all together."""
+    rng = np.random.default_rng(11)
+    base = [np.repeat(rng.integers(-(2**31), 2**31, 60), 5).astype(np.int32)[: int(n)] for n in (300, 300, 299, 170, 171, 90, 41, 40, 39, 3, 0)]
+    queries = [b[7:] ^ (1 << rng.integers(0, 31, max(len(b) - 7, 0))).astype(np.int32) for b in base] + [np.append(base[0][200:], base[3]), base[6]]
+    want = sorted(chroma.align(queries, base))
+    calls, places = [], chroma._places
+    monkeypatch.setattr(chroma, "_places", lambda *args: calls.append(1) or places(*args))
+    for cells in (chroma.CELLS, 2000):
+        monkeypatch.setattr(chroma, "CELLS", cells)
+        for step in (1, 2, 3, 4):
+            calls.clear()
+            assert sorted(chroma.align_by_index(queries, base, step, 0.2)) == want and len(calls) == 1
+    assert len(want) > 8 and list(chroma.align_by_index([], base, 2, 0.2)) == list(chroma.align_by_index(queries, base, 2, 2.0)) == []
+
+
 def test_chroma_awkward_tables(spark):
     fp = "id long, fp array<int>, key string, class_id long, q int"
     tie = list(range(60))
