@@ -44,14 +44,14 @@ def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def _sides(a: DataFrame, b: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
     """Distinct digests of both sides' rows with the sum of the sides that have them: 3 if both do.
 
-    Digests are dealt out before they are grouped, so what a task holds depends on ``parts`` (by default the session's shuffle
-    partitions), not on the files' splits. Copies of one digest are first dealt to several tasks.
+    With ``parts``, digests are dealt out to so many tasks before they are grouped, so what a task holds depends on neither the
+    files' splits nor the session's shuffle partitions. Copies of one digest are first dealt to several tasks.
     """
-    number = [parts] if parts else []
     both = row_digests(a, by).withColumn("sides", F.lit(1)).unionByName(row_digests(b, by).withColumn("sides", F.lit(2)))
-    dealt = both.withColumn("deal", F.spark_partition_id() % DEALS).repartition(*number, *by, "row", "deal")
-    once = dealt.groupBy(*by, "row", "deal").agg(F.bit_or("sides").alias("sides"))
-    return once.repartition(*number, *by, "row").groupBy(*by, "row").agg(F.bit_or("sides").alias("sides"))
+    if parts:
+        dealt = both.withColumn("deal", F.spark_partition_id() % DEALS).repartition(parts, *by, "row", "deal")
+        both = dealt.groupBy(*by, "row", "deal").agg(F.bit_or("sides").alias("sides")).repartition(parts, *by, "row")
+    return both.groupBy(*by, "row").agg(F.bit_or("sides").alias("sides"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
